@@ -33,6 +33,8 @@ WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{
 WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WHITE + r"\p{L}\p{N}]+|[" + WHITE + r"]+(?![^" + WHITE + r"])|[" + WHITE + "]+"
 )
+# Code points that the JVM has no category for.
+UNKNOWN = r"\p{Cn}"
 
 
 @lru_cache(maxsize=2)
@@ -66,37 +68,51 @@ def _word_ids(path: str):
     return encode
 
 
+def jvm_words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
+
+
 def words_of(text: Column, tokenizer_path: str) -> Column:
     """The words of a text, in order; together they are the text.
 
     The JVM splits every text of assigned characters. A text with a code point that the JVM does not know goes
     to the tokenizer's own splitter; the others reach Python as nulls only.
     """
-    unknown = text.rlike(r"\p{Cn}")
-    return F.coalesce(_pretokens(tokenizer_path)(F.when(unknown, text)), F.when(~unknown, F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))))
+    unknown = text.rlike(UNKNOWN)
+    return F.coalesce(_pretokens(tokenizer_path)(F.when(unknown, text)), F.when(~unknown, jvm_words(text)))
 
 
-def _look_up(words: pa.Table, table: pa.Table) -> tuple[pa.ListArray, np.ndarray]:
-    """The ids of each word of a block, by position, and where each document's words begin and end."""
+def _lists(words: pa.Table, path: str) -> pa.ListArray:
+    """The words of each document of a block; texts that the JVM left whole are split here."""
     lists = words["_words"].combine_chunks()
+    if words["_odd"].null_count == len(words):
+        return lists
+    pre = _tokenizer(path).pre_tokenizer
+    odd = [None if t is None else [t[a:b] for _, (a, b) in pre.pre_tokenize_str(t)] for t in words["_odd"].to_pylist()]
+    return pa.array([o if o is not None else w for o, w in zip(odd, lists.to_pylist())], pa.list_(pa.string()))
+
+
+def _look_up(words: pa.Table, table: pa.Table, path: str) -> tuple[pa.ListArray, np.ndarray]:
+    """The ids of each word of a block, by position, and where each document's words begin and end."""
+    lists = _lists(words, path)
     at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
     row = pc.index_in(lists.flatten(), value_set=table["_word"].combine_chunks())
     return table["_ids"].combine_chunks().take(row), at
 
 
 def _rows(words: pa.Table, name: str, values: pa.Array) -> pa.Table:
-    kept = [c for c in words.column_names if c not in ("_block", "_h", "_words")]
+    kept = [c for c in words.column_names if c not in ("_block", "_h", "_words", "_odd")]
     return words.select(kept).append_column(name, values)
 
 
-def _id_lists(words: pa.Table, table: pa.Table) -> pa.Table:
-    ids, at = _look_up(words, table)
+def _id_lists(words: pa.Table, table: pa.Table, path: str) -> pa.Table:
+    ids, at = _look_up(words, table, path)
     bounds = ids.offsets.to_numpy()[at] if len(ids) else np.zeros(len(at), "int32")
     return _rows(words, "ids", pa.ListArray.from_arrays(pa.array(bounds.astype("int32")), ids.values))
 
 
-def _id_counts(words: pa.Table, table: pa.Table) -> pa.Table:
-    ids, at = _look_up(words, table)
+def _id_counts(words: pa.Table, table: pa.Table, path: str) -> pa.Table:
+    ids, at = _look_up(words, table, path)
     bounds = ids.offsets.to_numpy()[at] if len(ids) else np.zeros(len(at), "int64")
     return _rows(words, "n_tokens", pa.array(np.diff(bounds).astype("int64")))
 
@@ -109,14 +125,22 @@ def _in_blocks(docs: DataFrame, id_col: str, text_col: str, keep: list[str], pat
     keyed = docs.select(F.col(id_col).alias("_id"), *extra, F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_h"))
     keyed = keyed.withColumn("_block", F.pmod(F.xxhash64("_id", "_h"), F.lit(blocks)).cast("int"))
     keyed = keyed.repartition(blocks, "_block").dropDuplicates(["_block", "_id", "_h"])
-    words = keyed.withColumn("_words", words_of(F.col("_text"), path)).drop("_text")
+    odd = F.col("_text").rlike(UNKNOWN)
+    # No Python step here: it would lose the partitioning by block, and the words would be shuffled.
+    words = keyed.withColumns({"_words": F.when(~odd, jvm_words(F.col("_text"))), "_odd": F.when(odd, F.col("_text"))}).drop("_text")
     # The block vocabulary is written once; both its encoding and the join read it.
-    seen = Scratch(spark, "p6").cut(words.select("_block", F.explode(F.array_distinct("_words")).alias("_word")).distinct(), "block_words")
+    seen = Scratch(spark, "p6").cut(keyed.select("_block", F.explode(F.array_distinct(words_of(F.col("_text"), path))).alias("_word")).distinct(), "block_words")
     table = seen.select("_word").distinct().select("_word", _word_ids(path)("_word").alias("_ids"))
-    per_block = seen.join(table, "_word").select("_block", "_word", "_ids")
+    # Partitioned as the documents are, so the words of the documents stay where they were split.
+    per_block = seen.join(table, "_word").select("_block", "_word", "_ids").repartition(blocks, "_block")
     kept = "".join(f"_keep{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
     schema = f"_id {docs.schema[id_col].dataType.simpleString()}, {kept}{made} {kind}"
-    out = words.groupBy("_block").cogroup(per_block.groupBy("_block")).applyInArrow(_id_lists if made == "ids" else _id_counts, schema)
+    assemble = _id_lists if made == "ids" else _id_counts
+
+    def join_back(block: pa.Table, ids: pa.Table) -> pa.Table:
+        return assemble(block, ids, path)
+
+    out = words.groupBy("_block").cogroup(per_block.groupBy("_block")).applyInArrow(join_back, schema)
     return out.select(F.col("_id").alias(id_col), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], made)
 
 
