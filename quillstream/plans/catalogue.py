@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.plans import timeline
+from quillstream.plans import records, relational, streams, text, timeline, vectors
 
-_MODULES = (timeline,)
+_MODULES = (timeline, text, records, relational, vectors, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
