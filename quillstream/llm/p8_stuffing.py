@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstream.operators.sizes import small_side
 from quillstream.session import Scratch
 
 BLOCK_BYTES = 600
@@ -35,40 +36,52 @@ LEAST_BLOCK = 150
 
 _WORD = re.compile(r"[^\W\d_]+")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|#[^\s#]+|(?<!\S)[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?:/\S*)?(?!\S)", re.I)
-_MAY_LINK = re.compile(r"#|://|www\.|\w\.[A-Za-z]{2}", re.I)
-_CUT = re.compile(r"(?<=[.!?])\s+|\n+")
+_CUT = re.compile(r"[.!?]\s|\n")
+_DOTTED = re.compile(r"\.[A-Za-z]{2}")
+_SEPARATOR = re.compile(r"[>»›/|•]|::")
 _ENTRY = re.compile(r"\s(?:>|»|›|/|\||::|•)\s")
-_END = re.compile(r"[^\W_][.!?…](?:\s|$)")
+_END = re.compile(r"[.!?…](?=\s|$)")
 
 
 def segments(text: str) -> list[str]:
-    return [s for s in _CUT.split(text) if s.strip()]
+    """Lines, and sentences within lines."""
+    out, at = [], 0
+    for m in _CUT.finditer(text):
+        out.append(text[at : m.start() + 1])
+        at = m.end()
+    out.append(text[at:])
+    return [t for s in out if (t := s.strip())]
+
+
+def _may_link(s: str) -> bool:
+    return "#" in s or "://" in s or "www." in s.lower() or _DOTTED.search(s) is not None
 
 
 def redundancy(text: str) -> float | None:
     """Mean compression ratio of the blocks of a text, whole segments that repeat left out; None if it is too short."""
-    body = "\n".join(dict.fromkeys(s.strip().lower() for s in segments(text))).encode()
+    body = "\n".join(dict.fromkeys(segments(text.lower()))).encode()
     blocks = [b for i in range(0, len(body), BLOCK_BYTES) if len(b := body[i : i + BLOCK_BYTES]) >= LEAST_BLOCK]
     return sum(len(zlib.compress(b, 9)) / len(b) for b in blocks) / len(blocks) if blocks else None
 
 
 def ends_per_word(text: str) -> float:
-    """Sentence ends for each word."""
-    return len(_END.findall(text)) / max(1, len(_WORD.findall(text)))
+    """Sentence ends, after a letter or digit, for each run of characters between white space."""
+    return sum(m.start() > 0 and text[m.start() - 1].isalnum() for m in _END.finditer(text)) / max(1, len(text.split()))
 
 
 def parts(text: str) -> list[tuple[int, int, bool, list[str]]]:
     """Of each segment: characters, those of links and tags, whether it is a menu entry, and its words beside links."""
     out = []
+    linked = _may_link(text)
     for s in segments(text):
         links = 0
         rest = s
-        if _MAY_LINK.search(s):
+        if linked and _may_link(s):
             links = sum(len(m.group()) for m in _LINK.finditer(s))
             rest = _LINK.sub(" ", s)
         words = _WORD.findall(rest.lower())
-        entries = len(_ENTRY.findall(s))
-        menu = bool(words) and entries >= 1 and not s.lstrip().startswith("> ") and len(words) <= 3 * (entries + 1) and entries * 2 + 1 >= len(words) / 2
+        entries = len(_ENTRY.findall(s)) if _SEPARATOR.search(s) else 0
+        menu = bool(words) and entries >= 1 and not s.startswith("> ") and len(words) <= 3 * (entries + 1) and entries * 2 + 1 >= len(words) / 2
         out.append((len(s), links, menu, words))
     return out
 
@@ -134,15 +147,18 @@ def score_stuffing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "p8")
     lang = F.coalesce(F.col(lang_col), F.lit("none"))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang")).filter(F.col("text").rlike(r"\S"))
+    base = base.withColumn("h", F.xxhash64("text"))
     base = base.withColumn("size", _length_class(F.col("text")))
-    measured = base.withColumn("m", _measured("text")).select("id", "lang", "size", "m.ratio", "m.ends", F.xxhash64("id").alias("h"))
+    measured = base.withColumn("m", _measured("text")).select("id", "h", "lang", "size", "m.ratio", "m.ends")
     measured = scratch.cut(measured, "measured")
     norm = scratch.cut(norms(measured).coalesce(1), "norms")
     n = measured.count()
 
     part = base if n <= fit_docs else base.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * 0.95 * fit_docs / n))
-    sample = part.withColumn("m", _measured("text")).select("id", "text", "lang", "size", "m.ratio", "m.ends")
-    sample = sample.join(norm, ["lang", "size"], "left").withColumn("deviation", (F.col("mid") - F.col("ratio")) / F.col("spread"))
+    # Each text is measured once; what follows is joined by id and hash.
+    measured = measured.join(small_side(norm), ["lang", "size"], "left").withColumn("deviation", (F.col("mid") - F.col("ratio")) / F.col("spread"))
+    measured = measured.select("id", "h", "ratio", "ends", "deviation").dropDuplicates(["id", "h"])
+    sample = part.select("id", "h", "text").join(measured, ["id", "h"])
     sample = sample.select(F.lit(0).alias("fit"), "id", "text", F.coalesce((F.col("deviation") > extreme) & (F.col("ends") <= few_ends), F.lit(False)).alias("seed"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -158,8 +174,7 @@ def score_stuffing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # The sample is bounded by fit_docs, and so are its words.
     odds = {r["word"]: r["odds"] for r in sample.groupBy("fit").applyInPandas(fit, "word string, odds double").collect()}
-    scored = base.withColumn("m", _measured("text")).withColumn("share", _shares(odds)("text")).select("id", "lang", "size", "m.ratio", "m.ends", "share")
-    scored = scored.join(norm, ["lang", "size"], "left").withColumn("deviation", (F.col("mid") - F.col("ratio")) / F.col("spread"))
+    scored = base.select("id", "h", _shares(odds)("text").alias("share")).join(measured, ["id", "h"])
     sole = F.coalesce((F.col("deviation") > sole_extreme) & (F.col("ends") <= sole_ends), F.lit(False))
     return scored.select("id", "ratio", "ends", "deviation", "share", ((F.col("share") > 0.5) | sole).alias("stuffed"))
 
