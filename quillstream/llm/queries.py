@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import p1_tensor, p2_components, p3_canonical, p4_nearest, p5_split, p6_encode, p8_stuffing
 from quillstream.llm.p7_mix import Mix
+from quillstream.llm.sql import SQL
 from quillstream.sources.tables import table
 
 TEXTS = ["summary", "verbatim_anchor"]
@@ -97,8 +98,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         p7_mix, p7_shares, p7_shard_quotas, p8_found, p8_scores)}
 
 
-SQL: dict[str, str] = {}
-
-
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
