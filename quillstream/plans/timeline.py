@@ -161,8 +161,8 @@ _ASOF = f"""with {_SLIDES}, m as (select l.user_id, l.line_id, l.t lt, s.event_i
 _HEADED = """with h as (select *, epoch_us(ts) us, case when event_type = 'signup' then 'S' || event_id end header from events),
   f as (select *, coalesce(last_value(header ignore nulls) over (partition by user_id order by us, event_id rows between unbounded preceding and current row), 'General') section from h),
   b as (select * from f where event_type <> 'signup')"""
-_SLIDE_T = r"coalesce(seconds, try_cast(nullif(regexp_extract(filename, '_([0-9]+(?:\.[0-9]+)?)\.png$', 1), '') as double))"
-_OFF = r"""case when regexp_full_match(timestamp, '[\s\[(]*(?:\d+:)?\d+:\d{1,2}(?:[.,]\d+)?[\s\])]*') then
+SLIDE_SQL = r"coalesce(seconds, try_cast(nullif(regexp_extract(filename, '_([0-9]+(?:\.[0-9]+)?)\.png$', 1), '') as double))"
+OFFSET_SQL = r"""case when regexp_full_match(timestamp, '[\s\[(]*(?:\d+:)?\d+:\d{1,2}(?:[.,]\d+)?[\s\])]*') then
     coalesce(try_cast(nullif(regexp_extract(timestamp, '(?:(\d+):)?(\d+):(\d{1,2})', 1), '') as double), 0) * 3600 + try_cast(regexp_extract(timestamp, '(?:(\d+):)?(\d+):(\d{1,2})', 2) as double) * 60
     + try_cast(regexp_extract(timestamp, '(?:(\d+):)?(\d+):(\d{1,2})', 3) as double) + coalesce(try_cast('0.' || nullif(regexp_extract(timestamp, '[.,](\d+)', 1), '') as double), 0)
   when regexp_full_match(timestamp, '[\s\[(]*\d+(?:[.,]\d+)?\s*s[\s\])]*') then try_cast(replace(regexp_extract(timestamp, '(\d+(?:[.,]\d+)?)', 1), ',', '.') as double) end"""
@@ -196,14 +196,14 @@ QUERIES = {
         from f join e on e.user_id = f.user_id and e.rn = f.rn + 1) select user_id, event_id, reference, is_duplicate from f"""),
     "lookback5_first_hit": (lookback5_first_hit, """with e as (select *, row_number() over (partition by user_id order by ts, event_id) rn from events)
         select b.event_id, arg_min(a.event_id, a.rn) as "match" from e b left join e a on a.user_id = b.user_id and a.rn between b.rn - 5 and b.rn - 1 and abs(a.value - b.value) <= 5 group by 1"""),
-    "minutes_seconds_autodetect": (minutes_seconds_autodetect, f"""with i as (select video_id, max({_SLIDE_T}) / 60 m from img group by 1), h as (select video_id, max({_OFF}) e from html_data group by 1)
+    "minutes_seconds_autodetect": (minutes_seconds_autodetect, f"""with i as (select video_id, max({SLIDE_SQL}) / 60 m from img group by 1), h as (select video_id, max({OFFSET_SQL}) e from html_data group by 1)
         select video_id, abs(m * 60 - e) < abs(m - e) in_minutes, round(case when abs(m * 60 - e) < abs(m - e) then m * 60 else m end, 4) last_s from i join h using (video_id)"""),
     "timestamp_format_roundtrip": (timestamp_format_roundtrip, """with e as (select event_id, event_id * 37 % 200000 s from events)
         select event_id, printf('%02d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) clock, case when s >= 172800 then (s // 86400) || ' days, ' when s >= 86400 then '1 day, ' else '' end
         || printf('%d:%02d:%02d', s // 3600 % 24, s // 60 % 60, s % 60) short, s::int back from e"""),
     "slide_name_parse": (slide_name_parse, rf"""with i as (select distinct slide_id, try_cast(nullif(regexp_extract(filename, '_([0-9]+(?:\.[0-9]+)?)\.png$', 1), '') as double) s from img)
         select slide_id, round(s, 6) s, round(s / 60, 6) m from i"""),
-    "interpolated_times": (interpolated_times, f"""with i as (select video_id, filename, max({_SLIDE_T}) t from img group by 1, 2),
+    "interpolated_times": (interpolated_times, f"""with i as (select video_id, filename, max({SLIDE_SQL}) t from img group by 1, 2),
         n as (select *, row_number() over (partition by video_id order by filename) - 1 k, count(*) over (partition by video_id) n, max(t) over (partition by video_id) e from i)
         select video_id, filename, round(k / greatest(n - 1, 1) * e, 4) t from n"""),
     "first_middle_last": (first_middle_last, """with e as (select *, row_number() over (partition by user_id order by ts, event_id) rn, count(*) over (partition by user_id) n from events)
