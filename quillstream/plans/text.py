@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillstream.functions import rules
 from quillstream.functions import text as tx
 from quillstream.functions.timefns import offset_seconds
 from quillstream.operators import folds
@@ -149,7 +150,7 @@ def page_triage(spark, d):
     """Documents as pages: class by amount of text and share of short lines."""
     t = table(spark, d, "documents").withColumn("chars", F.coalesce(F.length("text"), F.lit(0)))
     img = (F.col("doc_id") % 10) / 10.0
-    cls = F.when((F.col("chars") < 80) & (img < 0.05), "near_empty").when(img >= 0.85, "image_dominant").when(img < 0.05, "text_dominant").when((F.col("chars") < 200) & (img > 0.30), "image_dominant").when((F.col("chars") > 1500) & (img < 0.15), "text_dominant").otherwise("co_dependent")
+    cls = rules.page_dominance(F.col("chars"), img, F.lit(1))
     return t.select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), cls.alias("dominance"))
 
 

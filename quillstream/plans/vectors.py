@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillstream.functions import rules
 from quillstream.operators import vectors as vx
 from quillstream.operators.graph import star_components
 from quillstream.session import Scratch
@@ -100,13 +101,8 @@ def blank_rule(spark, d):
     m = e.groupBy("vec_id").agg(F.round(F.var_pop("g"), 4).alias("var"), F.round(F.stddev_pop("g"), 4).alias("std"), F.round(F.avg("g"), 4).alias("mean"), F.countDistinct("g").alias("used"))
     b = e.groupBy("vec_id", F.floor(F.col("g") / 8).alias("b")).agg((F.count("*") / DIMS).alias("p")).groupBy("vec_id").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 4).alias("ent"), F.round(F.max("p") * 100, 4).alias("dom"))
     j = m.join(b, "vec_id").withColumn("div", F.round(F.col("used") / 96, 4))
-    one = lambda c, n=1: F.when(c, n).otherwise(0)
-    score = one(F.col("var") < 500) + one(F.col("std") < 15) + one(F.col("ent") < 3.0, 2) + one(F.col("dom") > 85) + one((F.col("mean") > 235) | (F.col("mean") < 30)) + one(F.col("div") < 0.30) + one((F.col("dom") < 10) & (F.col("div") > 0.9), 3)
-    odd = (F.col("dom") < 10) & (F.col("div") > 0.9)
-    rich = (((F.col("var") > 2000) & (F.col("std") > 35)) | (F.col("var") > 5000)) & ~odd
-    j = j.withColumn("blank_score", score).withColumn("is_blank", (F.col("ent") < 3.0) | ((F.col("blank_score") >= 2) & ~rich))
-    content = F.least(F.lit(25.0), F.col("var") / 100) + F.least(F.lit(25.0), F.col("std") * 5) + F.least(F.lit(25.0), F.col("ent") * 3) + F.col("div") * 25
-    return j.select("vec_id", "blank_score", "is_blank", F.round(F.when(F.col("is_blank"), F.greatest(F.lit(0.0), content - 50)).otherwise(content), 2).alias("content_score"))
+    r = rules.blank_frame({"variance": F.col("var"), "std": F.col("std"), "mean": F.col("mean"), "entropy": F.col("ent"), "dominant": F.col("dom"), "diversity": F.col("div")})
+    return j.withColumn("r", r).select("vec_id", "r.blank_score", "r.is_blank", F.round("r.content_score", 2).alias("content_score"))
 
 
 def _pairs(spark, d):
