@@ -123,6 +123,6 @@ class Mix:
         got = self.placements().groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"))
         all_of = self.targets.join(F.broadcast(got), "source", "left").select(
             "source", "target_share", "max_repeats", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
-        every = all_of.agg(F.sum("tokens").alias("every"))
-        # One row: the total.
-        return all_of.join(F.broadcast(every)).withColumn("reached_share", F.try_divide(F.col("tokens").cast("double"), F.col("every"))).drop("every")
+        # One row per source: the total may be taken over all of them.
+        every = F.sum("tokens").over(Window.partitionBy())
+        return all_of.withColumn("reached_share", F.try_divide(F.col("tokens").cast("double"), F.nullif(every.cast("double"), F.lit(0.0))))

@@ -35,9 +35,9 @@ BLOCK_BYTES = 600
 LEAST_BLOCK = 150
 
 _WORD = re.compile(r"[^\W\d_]+")
-_LINK = re.compile(r"(?:https?://|www\.)\S+|#[^\s#]+|(?<!\S)[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?:/\S*)?(?!\S)", re.I)
+_LINK = re.compile(r"(?i:https?://|www\.)\S+|#[^\s#]+|(?<!\S)[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?:/\S*)?(?!\S)")
 _CUT = re.compile(r"[.!?]\s|\n")
-_DOTTED = re.compile(r"\.[A-Za-z]{2}")
+_DOTTED = re.compile(r"\.[a-z]{2}")
 _SEPARATOR = re.compile(r"[>»›/|•]|::")
 _ENTRY = re.compile(r"\s(?:>|»|›|/|\||::|•)\s")
 _END = re.compile(r"[.!?…](?=\s|$)")
@@ -137,10 +137,13 @@ def norms(measured: DataFrame) -> DataFrame:
 
 
 def score_stuffing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = 12_000,
-                   rounds: int = 4, extreme: float = 4.5, few_ends: float = 0.2, sole_extreme: float = 9.0, sole_ends: float = 0.02) -> DataFrame:
+                   rounds: int = 4, least_share: float = 0.4, extreme: float = 4.5, few_ends: float = 0.2, sole_extreme: float = 9.0,
+                   sole_ends: float = 0.02) -> DataFrame:
     """``(id, ratio, ends, deviation, share, stuffed)`` of every text that isn't blank.
 
-    fit_docs: bound of the sample that the word model is fitted on. extreme, few_ends: a seed's deviation in units of
+    fit_docs: bound of the sample that the word model is fitted on. least_share: share of stuffed characters, as the
+    model sees it, from which a text is reported; it stands for half of the true ones, as the model takes segments
+    whose keywords are ordinary words as well for sentences. extreme, few_ends: a seed's deviation in units of
     its norm's spread, and its sentence ends per word at most. sole_extreme, sole_ends: the same, for a text reported
     without regard to its share.
     """
@@ -169,14 +172,15 @@ def score_stuffing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         odds: dict[str, float] = {}
         for _ in range(rounds if any(flags) else 0):
             odds = word_odds(texts, flags)
-            flags = [share_of(p, odds) > 0.5 for p in split]
-        return pd.DataFrame({"word": list(odds), "odds": list(odds.values())}, columns=["word", "odds"])
+            flags = [share_of(p, odds) > least_share for p in split]
+        odds = odds or {"": 0.0}  # a frame without rows has no types
+        return pd.DataFrame({"word": list(odds), "odds": list(odds.values())})
 
     # The sample is bounded by fit_docs, and so are its words.
     odds = {r["word"]: r["odds"] for r in sample.groupBy("fit").applyInPandas(fit, "word string, odds double").collect()}
     scored = base.select("id", "h", _shares(odds)("text").alias("share")).join(measured, ["id", "h"])
     sole = F.coalesce((F.col("deviation") > sole_extreme) & (F.col("ends") <= sole_ends), F.lit(False))
-    return scored.select("id", "ratio", "ends", "deviation", "share", ((F.col("share") > 0.5) | sole).alias("stuffed"))
+    return scored.select("id", "ratio", "ends", "deviation", "share", ((F.col("share") > least_share) | sole).alias("stuffed"))
 
 
 def stuffed_pages(docs: DataFrame, **params) -> DataFrame:

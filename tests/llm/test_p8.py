@@ -20,7 +20,7 @@ def scored(spark):
     rows += [(1000 + i, ", ".join(f"{rng.choice(KEYS[:3])} {rng.choice(KEYS)}" for _ in range(80)), "en", 0) for i in range(25)]
     rows += [(2000, "\n".join(f"https://{rng.choice(NOUNS)}.example/{k}" for k in range(30)), "en", 0), (2001, "#gap#range#swing #tape #close", None, 0), (2002, "Home > Gap > Range | Home > Tape | Shop > Wick > Basis | Home > Close", "en", 0)]
     rows += [(3000, "\n".join(f"- https://a.example/{k} : " + sentence(rng) for k in range(10)), "en", 0), (3001, (sentence(rng) + "\n") * 40, "en", 0), (3002, "Reviewed early gap, marked thin range, slept badly.\nNo trade Monday.", "en", 0)]
-    rows += [(4000, None, "en", 0), (4001, "", "en", 0), (4002, " \n", "en", 0), (4003, sentence(rng) * 3000, "en", 0)]
+    rows += [(4000, None, "en", 0), (4001, "", "en", 0), (4002, " \n", "en", 0), (4003, (sentence(rng) + " ") * 3000, "en", 0)]
     rows += [(4004, " ".join(sentence(rng) for _ in range(10)) + " " + ", ".join(f"{rng.choice(KEYS[:3])} {rng.choice(KEYS)}" for _ in range(5)), "en", 0)]
     df = spark.createDataFrame(rows + rows[300:303], "doc_id bigint, text string, lang string, share int")
     return {r["id"]: r["stuffed"] for r in p8.score_stuffing(df).collect()}, {r["doc_id"] for r in p8.stuffed_pages(df).collect()}
