@@ -163,16 +163,18 @@ def vocabulary_forms(vocabulary: DataFrame) -> DataFrame:
 def map_phrases(phrases: DataFrame, vocabulary: DataFrame, scratch: Scratch, own_word_share: float = 0.5) -> DataFrame:
     """``(phrase, cid)`` of the distinct phrases, ``unmatched`` where no entry stands out."""
     forms = scratch.cut(vocabulary_forms(vocabulary), "forms")
-    split = scratch.cut(phrases.select("phrase").distinct().withColumn("tokens", _tokens("phrase")), "phrases")
+    # Little data, much work a row: partitions by count, as those by size would leave most cores idle.
+    n = int(phrases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = scratch.cut(phrases.select("phrase").distinct().repartition(n).withColumn("tokens", _tokens("phrase")), "phrases")
     at = split.select("phrase", F.explode("tokens").alias("token"))
-    tokens = at.groupBy("token").agg(F.count("*").alias("in_phrases"))
+    tokens = at.groupBy("token").agg(F.count("*").alias("in_phrases")).repartition(n)
     left = tokens.select("token", "in_phrases", F.explode(_keys(False)("token")).alias("k"))
     right = forms.select("known").distinct().select("known", F.explode(_keys(True)("known")).alias("k"))
     near = left.join(right, "k").select("token", "in_phrases", "known").distinct()
     # What can't be similar is dropped before Python: two swaps are four edits here.
     near = near.filter("levenshtein(token, known, 4) >= 0 or startswith(known, token) or length(token) < length(known)")
     near = near.filter("abs(length(token) - length(known)) <= 2 or length(token) < length(known)")
-    near = near.withColumn("sim", _similarity("token", "known")).filter("sim > 0")
+    near = near.repartition(n).withColumn("sim", _similarity("token", "known")).filter("sim > 0")
     # A token that is in the vocabulary stands for itself only.
     exact = F.max(F.when(F.col("token") == F.col("known"), 1).otherwise(0)).over(Window.partitionBy("token"))
     near = scratch.cut(near.withColumn("exact", exact).filter("exact = 0 or token = known").drop("exact"), "repairs")
