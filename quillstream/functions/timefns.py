@@ -10,6 +10,12 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def two_digits(n: Column) -> Column:
+    """A number with at least two digits; longer ones stay whole."""
+    s = n.cast("string")
+    return F.when(F.length(s) >= 2, s).otherwise(F.lpad(s, 2, "0"))
+
+
 def clock_to_seconds(ts: Column | str) -> Column:
     """``HH:MM:SS`` to whole seconds; null where it isn't of that form."""
     ts = _c(ts)
@@ -20,17 +26,14 @@ def clock_to_seconds(ts: Column | str) -> Column:
 def seconds_to_clock(s: Column | str) -> Column:
     """Seconds to ``HH:MM:SS``, truncated to whole seconds."""
     n = _c(s).cast("long")
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    h = F.floor(n / 3600).cast("long")
-    return F.concat_ws(":", F.when(h < 100, two(h)).otherwise(h.cast("string")), two(F.floor(n / 60) % 60), two(n % 60))
+    return F.concat_ws(":", two_digits(F.floor(n / 3600)), two_digits(F.floor(n / 60) % 60), two_digits(n % 60))
 
 
 def seconds_to_short_clock(s: Column | str) -> Column:
     """Seconds to ``H:MM:SS``, with ``D day(s), `` before it from 24 hours on."""
     n = _c(s).cast("long")
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
     days = F.floor(n / 86400).cast("long")
-    clock = F.concat_ws(":", (F.floor(n / 3600) % 24).cast("string"), two(F.floor(n / 60) % 60), two(n % 60))
+    clock = F.concat_ws(":", (F.floor(n / 3600) % 24).cast("string"), two_digits(F.floor(n / 60) % 60), two_digits(n % 60))
     return F.when(days == 0, clock).when(days == 1, F.concat(F.lit("1 day, "), clock)).otherwise(F.concat(days.cast("string"), F.lit(" days, "), clock))
 
 

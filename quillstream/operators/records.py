@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.functions.timefns import two_digits
 from quillstream.schemas import INSTRUMENTS, KNOWLEDGE_TYPES, SESSIONS
 
 
@@ -94,8 +95,7 @@ def sanitised(units: DataFrame) -> DataFrame:
 
 def unit_id(stem: Column, chunk: Column, ordinal: Column) -> Column:
     """``<stem>__<chunk>_<ordinal>_<ten digits of sha1 of stem:chunk:ordinal>``."""
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    return F.concat(stem, F.lit("__"), two(chunk), F.lit("_"), two(ordinal), F.lit("_"), F.left(F.sha1(F.concat_ws(":", stem, chunk.cast("string"), ordinal.cast("string"))), F.lit(10)))
+    return F.concat(stem, F.lit("__"), two_digits(chunk), F.lit("_"), two_digits(ordinal), F.lit("_"), F.left(F.sha1(F.concat_ws(":", stem, chunk.cast("string"), ordinal.cast("string"))), F.lit(10)))
 
 
 def batches(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:

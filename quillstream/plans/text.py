@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import rules
 from quillstream.functions import text as tx
-from quillstream.functions.timefns import offset_seconds
+from quillstream.functions.timefns import offset_seconds, two_digits
 from quillstream.operators import folds
 from quillstream.sources import transcripts as tr
 from quillstream.sources.tables import table
@@ -72,7 +72,7 @@ def blocks_by_5min(spark, d):
     s = tr.stamped_lines(_files(spark, d), "file_id", "content").withColumn("b", F.floor(F.col("seconds") / 300))
     g = s.groupBy("file_id", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ").alias("text"), F.count("*").alias("n"))
     span = g.groupBy("file_id").agg(F.explode(F.sequence(F.lit(0).cast("bigint"), F.max("b"))).alias("b"))
-    label = F.concat(F.lpad((F.col("b") * 5).cast("string"), 2, "0"), F.lit(":00 - "), F.lpad((F.col("b") * 5 + 5).cast("string"), 2, "0"), F.lit(":00"))
+    label = F.concat(two_digits(F.col("b") * 5), F.lit(":00 - "), two_digits(F.col("b") * 5 + 5), F.lit(":00"))
     return span.join(g, ["file_id", "b"], "left").select("file_id", label.alias("label"), F.coalesce("n", F.lit(0)).alias("n"), F.md5(F.coalesce("text", F.lit(""))).alias("h"))
 
 

@@ -57,6 +57,7 @@ def test_clock(spark):
     assert one(spark, tm.clock_to_seconds("t"), t="01:02:03") == 3723
     assert one(spark, tm.clock_to_seconds("t"), t="x") is None
     assert one(spark, tm.seconds_to_clock("t"), t=3723.9) == "01:02:03"
+    assert one(spark, tm.seconds_to_clock("t"), t=360001) == "100:00:01"
     assert one(spark, tm.seconds_to_short_clock("t"), t=90061) == "1 day, 1:01:01"
     assert one(spark, tm.slide_seconds("t"), t="001_1.5.png") == 1.5
     assert one(spark, tm.slide_seconds("t", minutes=True), t="001_1.5.png") == 0.025
