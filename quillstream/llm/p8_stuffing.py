@@ -4,12 +4,14 @@ Method: a text's distinct segments are compressed in blocks of equal size; the m
 median and the median deviation of texts of its language and length. Texts of extreme redundancy with few sentence
 ends are the seeds. Redundancy alone misses lists of different links or menu entries, and pages where stuffing is
 mixed with sentences, so the seeds teach a word model (log odds of a word in stuffed texts, refined over a few
-rounds on a bounded sample), and a text counts as stuffed if more than half of its characters belong to segments
-the model takes for keywords, or to links, tags and menu entries. Texts of extreme redundancy and few sentence ends
-are reported beside those when they repeat no whole sentences.
+rounds), and a text counts as stuffed if more than half of its characters belong to segments the model takes for
+keywords, or to links, tags and menu entries. Texts of extreme redundancy and few sentence ends are reported beside
+those when they repeat no whole sentences. A seed alone isn't reported, as clipped notes and repeated sentences are seeds
+as well; but in a seed, words too rare for the model speak for stuffing, so keywords of one page are found.
 
-Statistics cover all documents, and so does scoring. Only the word model is fitted on at most ``fit_docs`` documents,
-chosen by a hash of their id.
+Statistics, seeds, word model and scoring cover all documents. Each text is measured and split once; its words are
+kept as 64-bit codes, and a round counts in how many stuffed texts each code is. The codes in at least three texts
+and their odds go to every worker, twelve bytes a word.
 
 Defined results: null, empty and blank texts are never stuffed; rows of equal id count once, as stuffed if any is;
 whole texts are read, whatever their length; an empty table gives an empty result.
@@ -17,13 +19,15 @@ whole texts are read, whatever their length; an empty table gives an empty resul
 
 from __future__ import annotations
 
-import math
+import hashlib
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,38 +90,122 @@ def parts(text: str) -> list[tuple[int, int, bool, list[str]]]:
     return out
 
 
-def share_of(parts_: list[tuple[int, int, bool, list[str]]], odds: dict[str, float], least: float = 0.5) -> float:
-    """Share of the characters in segments whose words have mean log odds over ``least``, in menu entries, tags and links."""
-    total = bad = 0
-    for n, links, menu, words in parts_:
-        total += n
-        bad += n if menu or (words and sum(odds.get(w, 0.0) for w in words) > least * len(words)) else links
-    return bad / max(1, total)
-
-
-def word_odds(texts: list[set[str]], stuffed: list[bool], least_texts: int = 3, limit: float = 3.0) -> dict[str, float]:
+SPLIT = "chars array<int>, sure array<int>, counts array<int>, words array<bigint>, others array<bigint>"
+
+
+class _Codes(dict):
+    """Codes of words, remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        code = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        self[word] = code
+        return code
+
+
+def _measured(batches: Iterator[pa.RecordBatch], step: int = 1000) -> Iterator[pa.RecordBatch]:
+    """``(id, lang, size, text)`` to ``(id, lang, size, ratio, ends)`` and :data:`SPLIT`: of each segment the characters,
+    those that are stuffed whatever its words (links, or all of a menu entry), and the number of words that decide
+    about the rest; those words in order; and the text's words beside them."""
+    code = _Codes().__getitem__
+    for whole in batches:
+        for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+            texts = batch.column("text").to_pylist()
+            flat, ends = [array("i"), array("i"), array("i"), array("q"), array("q")], [[0] for _ in range(5)]
+            for t in texts:
+                chars, sure, counts, words, others = flat
+                beside = False
+                for n, links, menu, ws in parts(t):
+                    chars.append(n)
+                    sure.append(n if menu else links)
+                    counts.append(0 if menu else len(ws))
+                    if not menu:
+                        words.extend(map(code, ws))
+                    beside = beside or menu or links > 0
+                if beside:
+                    others.extend(set(map(code, _WORD.findall(t.lower()))).difference(words[ends[3][-1] :]))
+                for e, f in zip(ends, flat):
+                    e.append(len(f))
+            cols = [batch.column(c) for c in ("id", "lang", "size")]
+            cols += [pa.array(map(redundancy, texts), pa.float64()), pa.array(map(ends_per_word, texts), pa.float64())]
+            cols += [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(np.array(f, f"{f.typecode}"))) for e, f in zip(ends, flat)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "lang", "size", "ratio", "ends", "chars", "sure", "counts", "words", "others"])
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a column of lists, and the row that each belongs to."""
+    lists = batch.column(name)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+
+def shares(batch: pa.RecordBatch, codes: np.ndarray, odds: np.ndarray, rare: float, least: float = 0.5) -> np.ndarray:
+    """Of each row of a batch with :data:`SPLIT`, the share of the characters in segments whose words have mean log
+    odds over ``least``, in menu entries, tags and links; ``codes`` are sorted, and other words have the odds ``rare``
+    in a seed and 0 elsewhere."""
+    (chars, row), (sure, _), (counts, _), (words, of) = (_flat(batch, c) for c in ("chars", "sure", "counts", "words"))
+    known = np.where(batch.column("seed").to_numpy(zero_copy_only=False)[of], rare, 0.0)
+    if len(codes):
+        at = np.minimum(np.searchsorted(codes, words), len(codes) - 1)
+        known = np.where(codes[at] == words, odds[at], known)
+    total = np.bincount(np.repeat(np.arange(len(counts)), counts), known, len(counts))
+    bad = np.where((counts > 0) & (total > least * counts), chars, sure)
+    return np.bincount(row, bad, batch.num_rows) / np.maximum(1, np.bincount(row, chars, batch.num_rows))
+
+
+def word_odds(inside: np.ndarray, every: np.ndarray, stuffed: int, texts: int, limit: float = 3.0) -> np.ndarray:
     """Log odds, within limits, of each word's presence in stuffed texts, with half a text added on either side."""
-    inside, outside = Counter(), Counter()
-    for t, f in zip(texts, stuffed):
-        (inside if f else outside).update(t)
-    n, m = sum(stuffed), len(texts) - sum(stuffed)
-    odds = lambda w: math.log((inside[w] + 0.5) / (n + 1)) - math.log((outside[w] + 0.5) / (m + 1))
-    return {w: max(-limit, min(limit, odds(w))) for w in inside | outside if inside[w] + outside[w] >= least_texts}
-
-
-@F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("ends", T.DoubleType())]))
-def _measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in texts:
-        yield pd.DataFrame({"ratio": [redundancy(t) for t in batch], "ends": [ends_per_word(t) for t in batch]}, dtype="float64")
-
-
-def _shares(odds: dict[str, float]):
-    @F.pandas_udf(T.DoubleType())
-    def share(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield batch.map(lambda t: share_of(parts(t), odds)).astype("float64")
-
-    return share
+    odds = np.log((inside + 0.5) / (stuffed + 1)) - np.log((every - inside + 0.5) / (texts - stuffed + 1))
+    return np.clip(odds, -limit, limit).astype(np.float32)
+
+
+def _presence(split: DataFrame, flags: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """``(w, n)``: the number of flagged texts that have each word, and with null for ``w``, of all flagged texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(flags(batch)))
+            (words, a), (others, b) = _flat(batch, "words"), _flat(batch, "others")
+            place, found = pd.factorize(np.concatenate([words, others]))
+            pairs = pd.unique(np.concatenate([a, b]) * max(1, len(found)) + place)
+            n = np.bincount(pairs % max(1, len(found)), minlength=len(found))
+            cols = [pa.array([*found.tolist(), None], pa.int64()), pa.array([*n.tolist(), batch.num_rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["w", "n"])
+
+    return split.mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def _fetched(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted codes in at least ``least`` texts, their texts, and the number of all texts."""
+    got = counts.filter((F.col("n") >= least) | F.col("w").isNull()).toArrow()
+    null = got.column("w").is_null().to_numpy()
+    w, n = got.column("w").fill_null(0).to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(w[~null])
+    return w[~null][order], n[~null][order], int(n[null].sum())
+
+
+def fit_words(split: DataFrame, rounds: int, least_share: float, least_texts: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted word codes, their log odds, and those of a rarer word that is in one seed and one text beside the seeds;
+    taught by the rows whose ``seed`` is true and refined by all rows."""
+    sc = split.sparkSession.sparkContext
+    seeds = _presence(split.filter("seed"), lambda b: np.ones(b.num_rows, bool))
+    found, n, stuffed = _fetched(seeds, 1)
+    if not stuffed:
+        return found, n.astype(np.float32), 0.0
+    codes, every, texts = _fetched(_presence(split, lambda b: np.ones(b.num_rows, bool)), least_texts)
+    one = np.ones(1, np.int64)
+    rare = max(0.0, float(word_odds(one, 2 * one, stuffed, texts)[0]))
+    odds = np.zeros(len(codes), np.float32)
+    for i in range(rounds):
+        if i:
+            model = sc.broadcast((codes, odds, rare))
+            found, n, stuffed = _fetched(_presence(split, lambda b: shares(b, *model.value) > least_share), 1)
+            model.destroy()
+        _, a, b = np.intersect1d(codes, found, assume_unique=True, return_indices=True)
+        inside = np.zeros(len(codes), np.int64)
+        inside[a] = n[b]
+        odds = word_odds(inside, every, stuffed, texts)
+    return codes, odds, rare
 
 
 def _length_class(text: Column) -> Column:
@@ -136,51 +224,38 @@ def norms(measured: DataFrame) -> DataFrame:
     return far.groupBy("lang", "size").agg(F.first("mid").alias("mid"), F.greatest(F.percentile("d", F.lit(0.5), F.col("count")), F.lit(0.01)).alias("spread"))
 
 
-def score_stuffing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = 12_000,
-                   rounds: int = 4, least_share: float = 0.4, extreme: float = 4.5, few_ends: float = 0.2, sole_extreme: float = 9.0,
+def score_stuffing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = 4,
+                   least_share: float = 0.4, extreme: float = 4.5, few_ends: float = 0.2, sole_extreme: float = 9.0,
                    sole_ends: float = 0.02) -> DataFrame:
     """``(id, ratio, ends, deviation, share, stuffed)`` of every text that isn't blank.
 
-    fit_docs: bound of the sample that the word model is fitted on. least_share: share of stuffed characters, as the
-    model sees it, from which a text is reported; it stands for half of the true ones, as the model takes segments
-    whose keywords are ordinary words as well for sentences. extreme, few_ends: a seed's deviation in units of
-    its norm's spread, and its sentence ends per word at most. sole_extreme, sole_ends: the same, for a text reported
-    without regard to its share.
+    least_share: share of stuffed characters, as the model sees it, from which a text is reported; it stands for half
+    of the true ones, as the model takes segments whose keywords are ordinary words as well for sentences. extreme,
+    few_ends: a seed's deviation in units of its norm's spread, and its sentence ends per word at most. sole_extreme,
+    sole_ends: the same, for a text reported without regard to its share.
     """
-    scratch = Scratch(docs.sparkSession, "p8")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "p8")
     lang = F.coalesce(F.col(lang_col), F.lit("none"))
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang")).filter(F.col("text").rlike(r"\S"))
-    base = base.withColumn("h", F.xxhash64("text"))
-    base = base.withColumn("size", _length_class(F.col("text")))
-    measured = base.withColumn("m", _measured("text")).select("id", "h", "lang", "size", "m.ratio", "m.ends")
-    measured = scratch.cut(measured, "measured")
-    norm = scratch.cut(norms(measured).coalesce(1), "norms")
-    n = measured.count()
-
-    part = base if n <= fit_docs else base.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * 0.95 * fit_docs / n))
-    # Each text is measured once; what follows is joined by id and hash.
-    measured = measured.join(small_side(norm), ["lang", "size"], "left").withColumn("deviation", (F.col("mid") - F.col("ratio")) / F.col("spread"))
-    measured = measured.select("id", "h", "ratio", "ends", "deviation").dropDuplicates(["id", "h"])
-    sample = part.select("id", "h", "text").join(measured, ["id", "h"])
-    sample = sample.select(F.lit(0).alias("fit"), "id", "text", F.coalesce((F.col("deviation") > extreme) & (F.col("ends") <= few_ends), F.lit(False)).alias("seed"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "text"])
-        flags = pdf["seed"].tolist()
-        texts = [set(_WORD.findall(t.lower())) for t in pdf["text"]] if any(flags) else []
-        split = [parts(t) for t in pdf["text"]] if any(flags) else []
-        odds: dict[str, float] = {}
-        for _ in range(rounds if any(flags) else 0):
-            odds = word_odds(texts, flags)
-            flags = [share_of(p, odds) > least_share for p in split]
-        odds = odds or {"": 0.0}  # a frame without rows has no types
-        return pd.DataFrame({"word": list(odds), "odds": list(odds.values())})
-
-    # The sample is bounded by fit_docs, and so are its words.
-    odds = {r["word"]: r["odds"] for r in sample.groupBy("fit").applyInPandas(fit, "word string, odds double").collect()}
-    scored = base.select("id", "h", _shares(odds)("text").alias("share")).join(measured, ["id", "h"])
-    sole = F.coalesce((F.col("deviation") > sole_extreme) & (F.col("ends") <= sole_ends), F.lit(False))
-    return scored.select("id", "ratio", "ends", "deviation", "share", ((F.col("share") > least_share) | sole).alias("stuffed"))
+    base = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("text")).filter(F.col("text").rlike(r"\S"))
+    base = base.select("id", "lang", _length_class(F.col("text")).alias("size"), "text")
+    kind = base.schema["id"].dataType.simpleString()
+    split = scratch.cut(base.mapInArrow(_measured, f"id {kind}, lang string, size int, ratio double, ends double, {SPLIT}"), "split")
+    norm = scratch.cut(norms(split).coalesce(1), "norms")
+    split = split.join(small_side(norm), ["lang", "size"], "left").withColumn("deviation", (F.col("mid") - F.col("ratio")) / F.col("spread"))
+    over = lambda far, ends: F.coalesce((F.col("deviation") > far) & (F.col("ends") <= ends), F.lit(False))
+    split = split.withColumn("seed", over(extreme, few_ends))
+
+    model = spark.sparkContext.broadcast(fit_words(split.select("seed", "chars", "sure", "counts", "words", "others"), rounds, least_share))
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(c) for c in ("id", "ratio", "ends", "deviation", "sole")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(shares(batch, *model.value))], names=["id", "ratio", "ends", "deviation", "sole", "share"])
+
+    scored = split.withColumn("sole", over(sole_extreme, sole_ends)).select("id", "ratio", "ends", "deviation", "sole", "seed", "chars", "sure", "counts", "words")
+    scored = scored.mapInArrow(share, f"id {kind}, ratio double, ends double, deviation double, sole boolean, share double")
+    return scored.select("id", "ratio", "ends", "deviation", "share", ((F.col("share") > least_share) | F.col("sole")).alias("stuffed"))
 
 
 def stuffed_pages(docs: DataFrame, **params) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstream.llm import p8_stuffing as p8
 
@@ -41,3 +42,19 @@ def test_empty_and_unseeded(spark):
     assert p8.stuffed_pages(none).count() == 0
     plain = spark.createDataFrame([(1, "One sentence here.", "en"), (2, "www.a.example www.b.example", None)], "doc_id bigint, text string, lang string")
     assert [r["doc_id"] for r in p8.stuffed_pages(plain).collect()] == [2]
+
+
+def test_every_document_teaches_the_words(spark):
+    """Pages that a sample of 12,000 by the hash of their id would leave out: one that is a seed, two that mix the same keywords with a sentence, and a seed whose keywords no other text has."""
+    rng = random.Random(9)
+    texts = 14_000
+    h = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) >= int(1_000_000 * 0.95 * 12_000 / (texts + 24))
+    out = [r["id"] for r in spark.range(100_000, 100_100).filter(h).limit(4).collect()]
+    rows = [(i, " ".join(sentence(rng) for _ in range(4)), "en") for i in range(texts)]
+    line = lambda words, n: ", ".join(f"{rng.choice(words[:3])} {rng.choice(words)}" for _ in range(n))
+    rows += [(20_000 + i, line(KEYS, 40), "en") for i in range(20)]
+    own, lone = "gutschein akademie roboter billig buendel".split(), "zuverka molotti penvaru quisto drabbel".split()
+    rows += [(out[0], line(own, 30), "en"), (out[1], sentence(rng) + "\n" + line(own, 12), "en"), (out[2], sentence(rng) + "\n" + line(own, 12), "en"), (out[3], line(lone, 30), "en")]
+    scores = {r["id"]: r for r in p8.score_stuffing(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)).collect()}
+    assert {i for i, r in scores.items() if r["stuffed"]} == set(range(20_000, 20_020)) | set(out)
+    assert min(scores[i]["share"] for i in out) > 0.4
