@@ -1,7 +1,7 @@
 """Problem 8: keyword-stuffed and link-list pages.
 
-Method: a text's distinct segments are compressed in blocks of equal size; the mean ratio is compared with the
-median and the median deviation of texts of its language and length. Texts of extreme redundancy with few sentence
+Method: a text without its repeats of whole sentences is compressed in blocks of equal size; the mean ratio is compared
+with the median and the median deviation of texts of its language and length. Texts of extreme redundancy with few sentence
 ends are the seeds. Redundancy alone misses lists of different links or menu entries, and pages where stuffing is
 mixed with sentences, so the seeds teach a word model (log odds of a word in stuffed texts, refined over a few
 rounds), and a text counts as stuffed if more than half of its characters belong to segments the model takes for
@@ -44,6 +44,7 @@ _CUT = re.compile(r"[.!?]\s|\n")
 _DOTTED = re.compile(r"\.[a-z]{2}")
 _SEPARATOR = re.compile(r"[>»›/|•]|::")
 _ENTRY = re.compile(r"\s(?:>|»|›|/|\||::|•)\s")
+_CLOSED = re.compile(r"[.!?…][\"'”’»)\]]*$")
 _END = re.compile(r"[.!?…](?=\s|$)")
 
 
@@ -62,10 +63,17 @@ def _may_link(s: str) -> bool:
 
 
 def redundancy(text: str) -> float | None:
-    """Mean compression ratio of the blocks of a text, whole segments that repeat left out; None if it is too short."""
-    body = "\n".join(dict.fromkeys(segments(text.lower()))).encode()
-    blocks = [b for i in range(0, len(body), BLOCK_BYTES) if len(b := body[i : i + BLOCK_BYTES]) >= LEAST_BLOCK]
-    return sum(len(zlib.compress(b, 9)) / len(b) for b in blocks) / len(blocks) if blocks else None
+    """Mean compression ratio of the blocks of a text; whole sentences that repeat are left out, repeated lines without
+    a sentence's end stay. A short rest belongs to the block before it, and a short text is one block. None if there is nothing but white space."""
+    seen, kept = set(), []
+    for s in segments(text.lower()):
+        if s not in seen or not _CLOSED.search(s):
+            kept.append(s)
+            seen.add(s)
+    body = "\n".join(kept).encode()
+    cuts = [*range(0, max(1, len(body) - LEAST_BLOCK + 1), BLOCK_BYTES), len(body)]
+    blocks = [body[i:j] for i, j in zip(cuts, cuts[1:])]
+    return sum(len(zlib.compress(b, 9)) / len(b) for b in blocks) / len(blocks) if body else None
 
 
 def ends_per_word(text: str) -> float:
@@ -209,9 +217,9 @@ def fit_words(split: DataFrame, rounds: int, least_share: float, least_texts: in
 
 
 def _length_class(text: Column) -> Column:
-    """Texts under 300 characters, under 1,000, and longer ones, whose blocks compress alike."""
+    """Texts of under 150 characters, under 300, under 1,000, and longer ones, whose blocks compress alike."""
     n = F.length(text)
-    return F.when(n < 300, 0).when(n < 1000, 1).otherwise(2)
+    return F.when(n < LEAST_BLOCK, -1).when(n < 300, 0).when(n < 1000, 1).otherwise(2)
 
 
 def norms(measured: DataFrame) -> DataFrame:
@@ -238,7 +246,9 @@ def score_stuffing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(spark, "p8")
     lang = F.coalesce(F.col(lang_col), F.lit("none"))
     base = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("text")).filter(F.col("text").rlike(r"\S"))
-    base = base.select("id", "lang", _length_class(F.col("text")).alias("size"), "text")
+    # Short texts are few in most languages and compress alike in all, so they have one norm.
+    size = _length_class(F.col("text"))
+    base = base.select("id", F.when(size < 0, "short").otherwise(F.col("lang")).alias("lang"), size.alias("size"), "text")
     kind = base.schema["id"].dataType.simpleString()
     split = scratch.cut(base.mapInArrow(_measured, f"id {kind}, lang string, size int, ratio double, ends double, {SPLIT}"), "split")
     norm = scratch.cut(norms(split).coalesce(1), "norms")

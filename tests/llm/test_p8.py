@@ -58,3 +58,22 @@ def test_every_document_teaches_the_words(spark):
     scores = {r["id"]: r for r in p8.score_stuffing(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)).collect()}
     assert {i for i, r in scores.items() if r["stuffed"]} == set(range(20_000, 20_020)) | set(out)
     assert min(scores[i]["share"] for i in out) > 0.4
+
+
+def test_repeated_keywords_and_short_texts_are_measured(spark):
+    rng = random.Random(10)
+    rows = [(i, " ".join(sentence(rng) for _ in range(rng.randint(3, 20))), "en") for i in range(300)]
+    rows += [(500 + i, f"Reviewed {rng.choice(NOUNS)} {i}, marked {rng.choice(NOUNS)}, {rng.choice(VERBS)} the {rng.choice(NOUNS)} at {rng.randint(1, 12)}:{rng.randint(10, 59)}", "en") for i in range(60)]
+    rows += [(2000 + i, ", ".join(f"{rng.choice(KEYS[:3])} {rng.choice(KEYS)}" for _ in range(80)), "en") for i in range(25)]
+    rows += [(1000, "cheap coupon bundle\n" * 300, "en"), (1001, "cheap coupon bundle\n" * 7, "de"), (1002, (sentence(rng) + "\n") * 300, "en"), (1003, "«" + sentence(rng) + "»\n" * 2, "en")]
+    scores = {r["id"]: r for r in p8.score_stuffing(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert {i for i, r in scores.items() if r["stuffed"]} == {1000, 1001} | set(range(2000, 2025))
+    assert min(scores[i]["deviation"] for i in (1000, 1001)) > 4.5
+    assert all(r["deviation"] is not None for r in scores.values())
+    assert p8.redundancy("x y. " * 3) == p8.redundancy("x y.")
+
+
+def test_no_bytes_are_left_out():
+    rng = random.Random(11)
+    body = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(600))
+    assert p8.redundancy(body + "z" * 100) < p8.redundancy(body)
