@@ -9,6 +9,9 @@ tolerance long; right rows within tolerance of a border are in two stretches.
 
 Defined results: rows without entity or time are left out; repeated rows count once; of equally near partners the
 one of the lesser id is taken; a left row without partner comes out with nulls; an empty side leaves all unmatched.
+
+A stream's first watermark is 1970-01-01 00:00:00, and a row at it would count as late. Offsets count from that very
+instant, so both sides' event times are a day later inside the join, and the day is taken off again on output.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from quillstream.streaming.files import read_sink, resume, table_stream
 #: Later than any time there is; a row of this time tells the watermark that a finite input has ended.
 END = "9000-01-01 00:00:00"
 
+#: What event times are put off by inside the join, so that none is at or below the first watermark.
+SHIFT_US = 86_400_000_000
+
 
 def timed(rows: DataFrame, entity: Column, seconds: Column, ident: Column) -> DataFrame:
     """``(entity, ts, id)``: the form in which either side enters the join; seconds count from the entity's start."""
@@ -38,6 +44,7 @@ def nearest_stream(left: DataFrame, right: DataFrame, tolerance_s: float, delay:
     tol = int(tolerance_s * 1_000_000)
     width = 2 * tol
     us = lambda c: F.unix_micros(c)
+    left, right = (s.withColumn("ts", F.timestamp_micros(us(F.col("ts")) + SHIFT_US)) for s in (left, right))
     l = left.withWatermark("ts", delay).select(F.col("entity").alias("le"), F.col("ts").alias("lt"), F.col("id").alias("li"))
     l = l.withColumn("lb", F.floor(us(F.col("lt")) / width))
     r = right.withWatermark("ts", delay).select(F.col("entity").alias("re"), F.col("ts").alias("rt"), F.col("id").alias("ri"))
@@ -47,7 +54,7 @@ def nearest_stream(left: DataFrame, right: DataFrame, tolerance_s: float, delay:
     far = F.abs(us(F.col("rt")) - us(F.col("lt")))
     found = F.when(far < tol, F.struct(far.alias("distance_us"), F.col("ri").alias("right_id")))
     best = joined.groupBy("lt", "le", "li").agg(F.min(found).alias("best"))
-    return best.select(F.col("li").alias("left_id"), F.col("le").alias("entity"), F.col("lt").alias("left_ts"), "best.right_id", "best.distance_us")
+    return best.select(F.col("li").alias("left_id"), F.col("le").alias("entity"), F.timestamp_micros(us(F.col("lt")) - SHIFT_US).alias("left_ts"), "best.right_id", "best.distance_us")
 
 
 def _ending(spark: SparkSession, side: DataFrame, at: str) -> DataFrame:

@@ -57,3 +57,11 @@ def test_empty_sides_and_limits(spark, tmp_path):
 def test_rows_without_time_or_entity_are_left_out(spark):
     df = spark.createDataFrame([("a", 1.0, 1), (None, 1.0, 2), ("a", None, 3), ("a", 2.0, None)], "entity string, s double, id bigint")
     assert p4.timed(df, F.col("entity"), F.col("s"), F.col("id")).count() == 1
+
+
+def test_second_0_is_not_late(spark, tmp_path):
+    l = stream(spark, tmp_path / "l", [("a", 0.0, 1), ("a", 1.0, 2), ("b", 0.0, 3), ("c", 0.0, 4), ("c", 3.0, 5)])
+    r = stream(spark, tmp_path / "r", [("a", 2.0, 10), ("b", 0.0, 11), ("b", 4.0, 12), ("d", 0.0, 13)])
+    got = p4.match_nearest(spark, l, r, 5.0).collect()
+    assert {x["left_id"]: (x["right_id"], x["distance_us"]) for x in got} == {1: (10, 2_000_000), 2: (10, 1_000_000), 3: (11, 0), 4: (None, None), 5: (None, None)}
+    assert {x["left_id"]: x["left_ts"].timestamp() for x in got}[5] == 3.0
