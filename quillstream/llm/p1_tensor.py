@@ -5,8 +5,8 @@ into ``m * m`` table keys, so 2*m*k minhashes serve as many tables as ``m * m *
 half key of each collection agrees; at similarity s that has the chance ``(1 - (1 - s**k)**m)**2``. Pairs that meet
 pass a sketch of two bits of each minhash inside the join and are verified exactly on their words.
 
-Records of the same distinct words form one class first, so copies never meet each other: a class is one row of
-the join, however many records it has.
+Records of the same distinct words form one class first: a class is one row of the join, however many records it
+has. Only records of equal raw texts are copies; many of them are given as a star instead of all pairs.
 
 Defined results: null texts count as empty; a record without words is similar to none; rows equal in id and words
 count once, null ids are left out; columns other than those named are ignored.
@@ -26,6 +26,10 @@ from quillstream.operators.graph import star_components
 from quillstream.session import Scratch
 
 
+#: Members of a class that are the left side of one part of its pairs.
+PART_MEMBERS = 256
+
+
 @dataclass(frozen=True)
 class Tensor:
     """m: half keys in a collection; k: minhashes in a half key; slack: share of sketch fields, in standard
@@ -99,11 +103,14 @@ def _alike(n: int, longs: int, threshold: float, slack: float) -> str:
 
 
 def word_classes(records: DataFrame, id_col: str, texts: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``(id, cid)`` of every record with words, and the classes ``(cid, words, n, rep)``; rep is the least id."""
-    rows = records.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words(*texts).alias("words"))
-    rows = scratch.cut(rows.filter(F.size("words") > 0).withColumn("cid", F.xxhash64("words")).dropDuplicates(["id", "cid"]), "records")
+    """``(id, cid, tid)`` of every record with words, and the classes ``(cid, words, n, rep)``; rep is the least id.
+    Records of equal raw texts share ``tid``; one that comes with several texts of a class has the least of them."""
+    raw = F.xxhash64(F.to_json(F.array(*[F.coalesce(F.col(t), F.lit("")) for t in texts])))
+    rows = records.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words(*texts).alias("words"), raw.alias("tid"))
+    rows = rows.filter(F.size("words") > 0).withColumn("cid", F.xxhash64("words"))
+    rows = scratch.cut(rows.groupBy("id", "cid").agg(F.first("words").alias("words"), F.min("tid").alias("tid")), "records")
     classes = rows.groupBy("cid").agg(F.first("words").alias("words"), F.count("*").alias("n"), F.min("id").alias("rep"))
-    return rows.select("id", "cid"), scratch.cut(classes, "classes")
+    return rows.select("id", "cid", "tid"), scratch.cut(classes, "classes")
 
 
 def similar_classes(classes: DataFrame, threshold: float, tensor: Tensor = Tensor()) -> DataFrame:
@@ -127,20 +134,28 @@ def similar_pairs(records: DataFrame, id_col: str, texts: list[str], threshold:
                   expand_copies: int = 32) -> DataFrame:
     """``(id_a, id_b)``, the smaller first: pairs of different records that share enough words.
 
-    Records of equal words are pairs as well. A class of more than ``expand_copies`` equal records is given as pairs
-    of its least id with each of the others, and meets other classes through that id; smaller ones are given in full.
+    Records of equal words are pairs as well. More than ``expand_copies`` records of equal raw texts are given as
+    pairs of their least id with each of the others, and meet other texts through that id. Different texts meet in
+    full, whatever the size of their class; a class is split by its members, so no task has all of its pairs.
     """
     scratch = Scratch(records.sparkSession, "p1")
     members, classes = word_classes(records, id_col, texts, scratch)
     pairs = scratch.cut(similar_classes(classes, threshold, tensor).select("a", "b"), "pairs")
-    sized = members.join(classes.select("cid", "n", "rep"), "cid")
+    copies = members.groupBy("tid", "cid").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
+    sized = scratch.cut(members.join(copies, ["tid", "cid"]), "sized")
     shown = sized.filter((F.col("n") <= expand_copies) | (F.col("id") == F.col("rep"))).select("cid", "id")
-    across = pairs.join(shown.select(F.col("cid").alias("a"), F.col("id").alias("x")), "a")
-    across = across.join(shown.select(F.col("cid").alias("b"), F.col("id").alias("y")), "b").select("x", "y").filter("x <> y")
-    copies = sized.filter("n > 1")
-    stars = copies.filter(F.col("id") != F.col("rep")).select(F.col("rep").alias("x"), F.col("id").alias("y"))
-    few = copies.filter((F.col("n") <= expand_copies) & (F.col("id") != F.col("rep"))).select("cid", "id")
-    inner = few.alias("l").join(few.alias("r"), F.expr("l.cid = r.cid and l.id < r.id")).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
+    # The left side of a meeting is spread over the members of a class, the right side is copied to each part.
+    parts = shown.groupBy("cid").agg(F.ceil(F.count("*") / PART_MEMBERS).cast("int").alias("parts"))
+    salt = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    salted = scratch.cut(shown.join(parts, "cid").select("cid", "id", "parts", salt.alias("part")), "shown")
+    left = salted.select(F.col("cid").alias("a"), "part", F.col("id").alias("x"))
+    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    met = pairs.join(parts.select(F.col("cid").alias("a"), "parts"), "a").select("a", "b", "parts")
+    right = salted.select(F.col("cid").alias("b"), F.col("id").alias("y")).join(met, "b").select("a", "y", every_part)
+    across = left.join(right, ["a", "part"]).select("x", "y").filter("x <> y")
+    own = salted.select(F.col("cid").alias("a"), F.col("id").alias("y"), every_part)
+    inner = left.join(own, ["a", "part"]).select("x", "y").filter("x < y")
+    stars = sized.filter(F.col("id") != F.col("rep")).select(F.col("rep").alias("x"), F.col("id").alias("y"))
     every = across.unionByName(stars).unionByName(inner)
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
@@ -155,7 +170,7 @@ def similar_groups(records: DataFrame, id_col: str, texts: list[str], threshold:
     own = classes.select("cid", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").join(links, "cid", "left")
     own = own.select("cid", "rep", F.coalesce("label", "cid").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     roots = own.groupBy("label").agg(F.min("rep").alias("group_id"))
-    grouped = members.join(own.join(roots, "label").select("cid", "group_id", "links"), "cid").select("id", "group_id", "links")
+    grouped = members.select("id", "cid").join(own.join(roots, "label").select("cid", "group_id", "links"), "cid").select("id", "group_id", "links")
     bare = records.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().join(members.select("id"), "id", "left_anti")
     return grouped.groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("links").alias("links")).unionByName(
         bare.select("id", F.col("id").alias("group_id"), F.lit(0).cast("long").alias("links")))

@@ -68,3 +68,16 @@ def test_long_text_and_empty_table(spark):
     none = df.filter("false")
     assert p1.similar_pairs(none, "unit_id", ["summary", "verbatim_anchor"]).count() == 0
     assert p1.similar_groups(none, "unit_id", ["summary", "verbatim_anchor"]).count() == 0
+
+
+def test_different_texts_of_equal_words_meet_in_full(spark, monkeypatch):
+    monkeypatch.setattr(p1, "PART_MEMBERS", 7)
+    words = "one two three four five".split()
+    rng = random.Random(4)
+    texts = sorted({" ".join(rng.sample(words, 5)) for _ in range(200)})[:40]
+    rows = [(f"v{i:02d}", t, None, i, "") for i, t in enumerate(texts)] + [(f"w{i:02d}", t + " six", "", i, "") for i, t in enumerate(texts[:35])]
+    copies = [(f"x{i:02d}", "one two three four five SIX", None, i, "") for i in range(40)]
+    got = {tuple(r) for r in p1.similar_pairs(spark.createDataFrame(rows + copies[:1] + rows[:3], SCHEMA), "unit_id", ["summary", "verbatim_anchor"]).collect()}
+    assert got == brute(rows + copies[:1])
+    got = {tuple(r) for r in p1.similar_pairs(spark.createDataFrame(rows + copies, SCHEMA), "unit_id", ["summary", "verbatim_anchor"]).collect()}
+    assert got == brute(rows + copies[:1]) | {("x00", c[0]) for c in copies[1:]}
