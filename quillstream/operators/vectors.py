@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.operators.sizes import small_side
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -28,6 +30,15 @@ def topk(rows: DataFrame, vector: str, query: list[float], k: int = 8, where: li
     return kept.withColumn("distance", 1.0 - cosine(F.col(vector), q)).filter("distance is not null").orderBy("distance", tie).limit(k)
 
 
+def topk_each(rows: DataFrame, vector: str, queries: DataFrame, k: int = 8, where: list[Column] | None = None, tie: str = "vec_id") -> DataFrame:
+    """Of each query ``(query_id, query)``, the ``k`` rows of least cosine distance among those that pass every
+    predicate, as ``distance`` and ``rank``. The limit on the rank cuts each block's rows before the shuffle."""
+    kept = reduce(lambda df, p: df.filter(p), where or [], rows)
+    scored = kept.crossJoin(small_side(queries)).withColumn("distance", 1.0 - cosine(F.col(vector), F.col("query"))).filter("distance is not null")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", tie))
+    return scored.drop("query").withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def dhash(vector: Column, dims: int) -> Column:
     """Bit i is set where element i + 1 exceeds element i; dims - 1 bits, at most 63."""
     bits = [F.shiftleft((F.get(vector, F.lit(i + 1)) > F.get(vector, F.lit(i))).cast("long"), i) for i in range(min(dims - 1, 63))]

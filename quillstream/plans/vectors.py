@@ -30,6 +30,20 @@ def prefiltered_cosine_topk(spark, d):
     return vx.topk(table(spark, d, "embeddings"), "embedding", _query(spark, d), 8, where).select("vec_id", "label", F.round("distance", 6).alias("distance"))
 
 
+def _queries(spark, d):
+    """Every row whose id is divisible by 100."""
+    return table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def cosine_topk_each(spark, d):
+    return vx.topk_each(table(spark, d, "embeddings"), "embedding", _queries(spark, d), 8).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+def prefiltered_cosine_topk_each(spark, d):
+    where = [F.col("label").isin(1, 3, 5), F.col("vec_id") % 2 == 1]
+    return vx.topk_each(table(spark, d, "embeddings"), "embedding", _queries(spark, d), 8, where).select("query_id", "vec_id", "label", F.round("distance", 6).alias("distance"), "rank")
+
+
 def topk_per_trigger_union(spark, d):
     """The top 3 of every label's own ranking, united."""
     from pyspark.sql import Window
@@ -126,6 +140,8 @@ def tiered_decisions(spark, d):
 
 _Q0 = "q as (select embedding q from embeddings where vec_id = 0)"
 _COS = "list_dot_product({a}::double[], {b}::double[]) / nullif(sqrt(list_dot_product({a}::double[], {a}::double[])) * sqrt(list_dot_product({b}::double[], {b}::double[])), 0)"
+_EACH = f"""with q as (select vec_id query_id, embedding q from embeddings where vec_id % 100 = 0), e as (select query_id, vec_id, label, 1 - {_COS.format(a='embedding', b='q')} d from embeddings, q),
+    r as (select *, row_number() over (partition by query_id order by d, vec_id)::int as "rank" from e where d is not null{{where}}) select query_id, vec_id, {{label}}round(d, 6) distance, "rank" from r where "rank" <= 8"""
 _DH = "list_sum([case when embedding[i + 2] > embedding[i + 1] then 1::bigint << i else 0::bigint end for i in range(63)])::bigint"
 _HE = f"he as (select *, {_DH} h from embeddings)"
 _CMP = """select *, list_min(map_values(distances)) mn, list_sum(map_values(distances))::double / len(map_values(distances)) av from duplicates where image1 is not null and image2 is not null"""
@@ -133,6 +149,8 @@ _CMP = """select *, list_min(map_values(distances)) mn, list_sum(map_values(dist
 QUERIES = {
     "cosine_topk": (cosine_topk, f"with {_Q0} select vec_id, round(1 - {_COS.format(a='embedding', b='q')}, 6) distance from embeddings, q order by 1 - {_COS.format(a='embedding', b='q')}, vec_id limit 8"),
     "prefiltered_cosine_topk": (prefiltered_cosine_topk, f"with {_Q0} select vec_id, label, round(1 - {_COS.format(a='embedding', b='q')}, 6) distance from embeddings, q where label in (1, 3, 5) and vec_id % 2 = 1 order by 1 - {_COS.format(a='embedding', b='q')}, vec_id limit 8"),
+    "cosine_topk_each": (cosine_topk_each, _EACH.format(where="", label="")),
+    "prefiltered_cosine_topk_each": (prefiltered_cosine_topk_each, _EACH.format(where=" and label in (1, 3, 5) and vec_id % 2 = 1", label="label, ")),
     "topk_per_trigger_union": (topk_per_trigger_union, f"""with {_Q0}, e as (select label, vec_id, round(1 - {_COS.format(a='embedding', b='q')}, 6) distance from embeddings, q),
         r as (select *, row_number() over (partition by label order by distance, vec_id)::int as "rank" from e) select * from r where "rank" <= 3"""),
     "dhash_values": (dhash_values, f"with {_HE} select vec_id, h from he"),

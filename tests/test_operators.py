@@ -146,3 +146,15 @@ def test_upsert_keeps_the_last(spark, tmp_path):
     put(spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, n int, v string"), 0)
     put(spark.createDataFrame([("a", 2, "z"), ("b", 0, "old")], "k string, n int, v string"), 1)
     assert rows(spark.read.parquet(str(tmp_path / "t/v000001"))) == [("a", 2, "z"), ("b", 1, "y")]
+
+
+def test_topk_of_many_queries(spark):
+    from quillstream.operators import vectors as vx
+
+    rows = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(40)] + [(90, [0.0, 0.0, 0.0])], "vec_id bigint, v array<double>")
+    queries = rows.filter("vec_id % 10 = 0").selectExpr("vec_id query_id", "v query")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in vx.topk_each(rows, "v", queries, 3).collect()}
+    want = {}
+    for q in queries.filter("query_id < 90").collect():
+        want |= {(q["query_id"], n + 1): r["vec_id"] for n, r in enumerate(vx.topk(rows, "v", q["query"], 3).collect())}
+    assert len(want) == 12 and got == want
