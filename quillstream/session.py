@@ -87,12 +87,13 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later step reads."""
         if at := getattr(df, "_scratch_path", None):
-            self._delete(at)
+            self.delete(at)
 
-    def _delete(self, at: str) -> None:
+    def delete(self, at: str) -> None:
+        """Delete a path below the folder."""
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def clear(self) -> None:
-        self._delete(self.root)
+        self.delete(self.root)
