@@ -1,9 +1,12 @@
 """Problem 7: mixing sources to target weights.
 
-Method: documents are put into seeded order within shards of bounded size and cut into blocks of equal token
-counts; the blocks of the mix are apportioned to the sources by Sainte-Laguë's highest quotients, a shard of the
-mix after the other, so every shard gets integer quotas; a source's quota is served from its blocks in seeded
-order, around again as often as its repeats allow.
+Method: documents are put into seeded order within shards of bounded size and cut into blocks of equal token counts,
+by running totals over all of a source's shards, so one block of a source may be short. The blocks of the mix are
+apportioned to the sources by Sainte-Laguë's highest quotients, a shard of the mix after the other, so every shard of
+the mix has an integer quota of each source. The quotas select the blocks: a source's blocks are dealt in a seeded
+order, around again as often as its repeats allow, and the n-th one dealt belongs to the shard whose quota it falls
+into. The place of a quotient among all of them has a closed form (:func:`seat`), so each block finds its shards alone,
+without a sort or a join.
 
 Defined results: documents without tokens, without source or of a source without target are not in the mix; a
 source without documents gets nothing, and the others share its part in proportion; rows equal in id and text count
@@ -13,15 +16,21 @@ once; without any document the mix is empty and all reached shares are null.
 from __future__ import annotations
 
 import heapq
+import json
+import random
 from collections.abc import Sequence
+from math import gcd
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.llm.p6_encode import count_tokens
 from quillstream.session import Scratch
 
+# Targets are gathered on the driver: one row for each source.
 MAX_SOURCES = 10_000
+# Shares are whole parts of a million, so that quotients are compared exactly.
+PARTS = 1_000_000
 
 
 def sainte_lague(weights: Sequence[float], caps: Sequence[int], seats: int) -> list[int]:
@@ -52,11 +61,21 @@ def sainte_lague(weights: Sequence[float], caps: Sequence[int], seats: int) -> l
     return out
 
 
+def seat(weights: Sequence[int], caps: Sequence[int]) -> Column:
+    """The place, from 0, at which block ``q`` (from 0) of source number ``i`` with ``weight`` is dealt, over columns
+    of those names: the number of quotients before ``weight / (2q + 1)``, those of earlier sources first on ties, of a
+    source as many as its cap. A rival's j-th quotient is before it if ``(2j + 1) * weight < w * (2q + 1)``."""
+    rivals = json.dumps([{"i": i, "w": w, "c": c} for i, (w, c) in enumerate(zip(weights, caps)) if w > 0 and c > 0])
+    before = "least(x.c, ((x.w * (2 * q + 1) - if(x.i < i, 0, 1)) div weight + 1) div 2)"
+    return F.expr(f"aggregate(from_json('{rivals}', 'array<struct<i:int,w:bigint,c:bigint>>'), 0L, (n, x) -> n + {before})")
+
+
 class Mix:
     """A mix of ``documents`` by ``targets(source, target_share, max_repeats)``.
 
     block_tokens: tokens of a block. shard_tokens: tokens of a shard of the input, and of the mix. total_tokens: size
-    of the mix; by default the largest at which every source that has documents reaches its share.
+    of the mix; by default the largest at which every source that has documents reaches its share. More than
+    :data:`MAX_SOURCES` targets are an error.
     """
 
     def __init__(self, docs: DataFrame, targets: DataFrame, seed: int = 7, block_tokens: int = 1024, shard_tokens: int = 4_000_000, total_tokens: int | None = None):
@@ -71,19 +90,20 @@ class Mix:
 
         counted = count_tokens(docs, keep=("source",)).filter("n_tokens > 0")
         counted = scratch.cut(counted.join(F.broadcast(self.targets.select("source")), "source"), "tokens")
-        total = counted.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
-        shards = total // shard_tokens + 1
+        by_source = {r["source"]: r["n"] for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+        shards = sum(by_source.values()) // shard_tokens + 1
         put = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)))
-        order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
-        begin = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        self._blocks = scratch.cut(put.withColumn("local", F.floor((F.coalesce(begin, F.lit(0)) + F.col("n_tokens") / 2) / block_tokens)), "blocks")
-        sizes = self._blocks.groupBy("source", "shard").agg(F.ceil(F.sum("n_tokens") / block_tokens).alias("n"))
-        # One row per source and shard: the blocks of earlier shards give each block its number in the source.
+        # One row per source and shard: the tokens of earlier shards come before those of a shard.
+        sizes = put.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n"))
         before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        self._base = scratch.cut(sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "sizes")
-        have = {r["source"]: r["n"] for r in self._base.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+        base = sizes.select("source", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+        order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
+        begin = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = put.withColumn("begin", begin).join(base, ["source", "shard"])
+        self._blocks = placed.select("doc_id", "source", "n_tokens", F.floor((F.col("base") + F.col("begin") + F.col("n_tokens") / 2) / block_tokens).alias("block"))
 
-        weights = [want[s][0] if have.get(s) else 0.0 for s in self.names]
+        have = {s: -(-n // block_tokens) for s, n in by_source.items()}
+        weights = [round(want[s][0] * PARTS) if have.get(s) else 0 for s in self.names]
         caps = [have.get(s, 0) * want[s][1] for s in self.names]
         live = sum(w for w, c in zip(weights, caps) if c > 0)
         if total_tokens is None:
@@ -92,14 +112,25 @@ class Mix:
             seats = total_tokens // block_tokens
         quota = sainte_lague(weights, caps, seats)
         self._plan = (weights, caps, sum(quota), max(1, shard_tokens // block_tokens))
-        self.quota = spark.createDataFrame([(s, q, have.get(s, 0)) for s, q in zip(self.names, quota)], "source string, quota long, blocks long")
+        # A seeded order of a source's blocks: block b is dealt at step * b + first, modulo the number of blocks.
+        rng = random.Random(seed)
+        plan = []
+        for i, s in enumerate(self.names):
+            n = have.get(s, 0)
+            first, step = rng.randrange(max(n, 1)), 1 + rng.randrange(max(1, min(n, 2**62 // max(n, 1)) - 1))
+            while n and gcd(step, n) > 1:
+                step -= 1
+            plan.append((s, i, weights[i], quota[i], n, step, first))
+        self.quota = spark.createDataFrame(plan, "source string, i int, weight long, quota long, blocks long, step long, first long")
 
     def placements(self) -> DataFrame:
-        """``(doc_id, source, n_tokens, times)``: each document of the mix and how often it is taken."""
-        numbered = self._blocks.join(self._base.select("source", "shard", "base"), ["source", "shard"]).join(F.broadcast(self.quota), "source")
-        around = F.floor(F.col("quota") / F.col("blocks"))
-        times = around + F.when(F.col("base") + F.col("local") < F.col("quota") % F.col("blocks"), 1).otherwise(0)
-        return numbered.select("doc_id", "source", "n_tokens", times.cast("int").alias("times")).filter("times > 0")
+        """``(doc_id, source, n_tokens, mix_shard, repeat)``: each document of the mix once for each time it is taken;
+        repeat counts from 0."""
+        weights, caps, seats, per = self._plan
+        dealt = self._blocks.join(F.broadcast(self.quota), "source").withColumn("at", F.expr("(step * block + first) % blocks")).filter("at < quota")
+        dealt = dealt.withColumn("repeat", F.explode(F.expr("sequence(0, cast((quota - 1 - at) div blocks as int))")))
+        dealt = dealt.withColumn("q", F.col("at") + F.col("repeat") * F.col("blocks")).withColumn("seat", seat(weights, caps))
+        return dealt.select("doc_id", "source", "n_tokens", F.floor(F.col("seat") / per).alias("mix_shard"), "repeat")
 
     def shard_quotas(self) -> DataFrame:
         """``(mix_shard, source, blocks)``: the integer quotas of each shard of the mix. The quotients are dealt in
@@ -120,7 +151,7 @@ class Mix:
 
     def shares(self) -> DataFrame:
         """``(source, target_share, max_repeats, docs, tokens, reached_share)`` of every source with a target."""
-        got = self.placements().groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"))
+        got = self.placements().groupBy("source").agg(F.count_if(F.col("repeat") == 0).alias("docs"), F.sum("n_tokens").alias("tokens"))
         all_of = self.targets.join(F.broadcast(got), "source", "left").select(
             "source", "target_share", "max_repeats", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
         # One row per source: the total may be taken over all of them.

@@ -1,9 +1,11 @@
 import heapq
 import random
+from collections import Counter
+from fractions import Fraction
 
 import pytest
 
-from quillstream.llm.p7_mix import Mix, sainte_lague
+from quillstream.llm.p7_mix import Mix, sainte_lague, seat
 
 TARGETS = "source string, target_share double, max_repeats int"
 
@@ -37,18 +39,23 @@ def docs(spark):
     return spark.createDataFrame(rows + [(5000, None, "a", "x"), (5001, "", "b", "x")] + rows[:10], "doc_id bigint, text string, source string, times string")
 
 
+def times(rows):
+    return Counter((r["doc_id"], r["source"]) for r in rows)
+
+
 def test_shares_and_repeats(spark, docs):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 3), ("c", 0.2, 2), ("gone", 0.1, 2)], TARGETS)
     mix = Mix(docs, targets, block_tokens=64, shard_tokens=5000)
     rows = mix.placements().collect()
-    assert len({r["doc_id"] for r in rows}) == len(rows)
+    assert len({(r["doc_id"], r["repeat"]) for r in rows}) == len(rows)
     most = {"a": 1, "b": 3, "c": 2}
-    assert all(1 <= r["times"] <= most[r["source"]] for r in rows)
+    assert all(n <= most[s] for (_, s), n in times(rows).items())
     shares = {r["source"]: r for r in mix.shares().collect()}
     for s, want in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
         assert abs(shares[s]["reached_share"] - want) < 0.02
     assert shares["gone"]["tokens"] == 0
-    assert sum(r["tokens"] for r in shares.values()) == sum(r["n_tokens"] * r["times"] for r in rows)
+    assert sum(r["tokens"] for r in shares.values()) == sum(r["n_tokens"] for r in rows)
+    assert sum(r["docs"] for r in shares.values()) == len({r["doc_id"] for r in rows})
     quotas = mix.shard_quotas().collect()
     total = {r["source"]: 0 for r in quotas}
     for r in quotas:
@@ -57,6 +64,33 @@ def test_shares_and_repeats(spark, docs):
     assert total == {r["source"]: r["quota"] for r in mix.quota.collect()}
 
 
+def test_each_shard_takes_its_quota(spark):
+    """Every document is one block, so the placements of a shard of the mix are the blocks it took."""
+    rows = [(i, " plan" * 64, s) for i, s in enumerate(["a"] * 500 + ["b"] * 90 + ["c"] * 37)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 4), ("c", 0.2, 6)], TARGETS)
+    mix = Mix(docs, targets, block_tokens=64, shard_tokens=64 * 50)
+    taken = mix.placements().collect()
+    got = Counter((r["mix_shard"], r["source"]) for r in taken)
+    want = {(r["mix_shard"], r["source"]): r["blocks"] for r in mix.shard_quotas().collect() if r["blocks"]}
+    assert len({k for k, _ in want}) > 10 and got == want
+    # A source of less than a round is served from all of its input, one of several rounds evenly.
+    b = times(r for r in taken if r["source"] == "b")
+    assert len(b) == 90 and max(b.values()) - min(b.values()) == 1
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_seats_are_the_order_of_dealing(spark, seed):
+    rng = random.Random(seed)
+    n = rng.randint(1, 6)
+    weights, caps = [rng.choice([0, 250_000, rng.randint(1, 10**6)]) for _ in range(n)], [rng.choice([0, rng.randint(1, 30)]) for _ in range(n)]
+    blocks = [(q, i, weights[i]) for i in range(n) for q in range(caps[i]) if weights[i]]
+    order = sorted(blocks, key=lambda b: (-Fraction(b[2], 2 * b[0] + 1), b[1]))
+    got = spark.createDataFrame(blocks, "q long, i int, weight long").withColumn("seat", seat(weights, caps)).collect()
+    assert [(r["q"], r["i"]) for r in sorted(got, key=lambda r: r["seat"])] == [b[:2] for b in order]
+    assert sorted(r["seat"] for r in got) == list(range(len(blocks)))
+
+
 def test_same_seed_same_mix(spark, docs):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], TARGETS)
     a, b, c = (sorted(map(tuple, Mix(docs, targets, seed=s, block_tokens=64).placements().collect())) for s in (1, 1, 2))
@@ -68,7 +102,7 @@ def test_small_sources_reach_their_cap(spark, docs):
     mix = Mix(docs, targets, block_tokens=64, total_tokens=10**9)
     shares = {r["source"]: r for r in mix.shares().collect()}
     assert shares["b"]["reached_share"] < 0.9
-    assert all(r["times"] == 1 for r in mix.placements().collect())
+    assert all(r["repeat"] == 0 for r in mix.placements().collect())
 
 
 def test_empty(spark, docs):
