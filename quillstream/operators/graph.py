@@ -6,7 +6,7 @@ neighbours it has, is gathered into one task; adaptive execution splits the join
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillstream.session import Scratch
@@ -35,8 +35,10 @@ def star_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) ->
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, F.col("v") > F.col("u"), with_center=False)
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        nxt = scratch.cut(_star(down, F.lit(True), with_center=True), "forest")
-        state = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        found = Observation()
+        forest = _star(down, F.lit(True), with_center=True).observe(found, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        nxt = scratch.cut(forest, "forest")
+        state = found.get
         scratch.drop(cur)
         cur = nxt
         if state == seen:
