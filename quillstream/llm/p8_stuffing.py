@@ -22,12 +22,12 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,62 +40,54 @@ LEAST_BLOCK = 150
 
 _WORD = re.compile(r"[^\W\d_]+")
 _LINK = re.compile(r"(?i:https?://|www\.)\S+|#[^\s#]+|(?<!\S)[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?:/\S*)?(?!\S)")
-_CUT = re.compile(r"[.!?]\s|\n")
-_DOTTED = re.compile(r"\.[a-z]{2}")
-_SEPARATOR = re.compile(r"[>»›/|•]|::")
 _ENTRY = re.compile(r"\s(?:>|»|›|/|\||::|•)\s")
 _CLOSED = re.compile(r"[.!?…][\"'”’»)\]]*$")
-_END = re.compile(r"[.!?…](?=\s|$)")
-
-
-def segments(text: str) -> list[str]:
-    """Lines, and sentences within lines."""
-    out, at = [], 0
-    for m in _CUT.finditer(text):
-        out.append(text[at : m.start() + 1])
-        at = m.end()
-    out.append(text[at:])
-    return [t for s in out if (t := s.strip())]
-
-
-def _may_link(s: str) -> bool:
-    return "#" in s or "://" in s or "www." in s.lower() or _DOTTED.search(s) is not None
-
-
-def redundancy(text: str) -> float | None:
-    """Mean compression ratio of the blocks of a text; whole sentences that repeat are left out, repeated lines without
-    a sentence's end stay. A short rest belongs to the block before it, and a short text is one block. None if there is nothing but white space."""
-    seen, kept = set(), []
-    for s in segments(text.lower()):
-        if s not in seen or not _CLOSED.search(s):
-            kept.append(s)
-            seen.add(s)
-    body = "\n".join(kept).encode()
+# Arrow's expressions: ends of segments, segments that may have links or menu entries, and ends of sentences after a
+# letter or digit.
+_SPACE = r"[\s\pZ\x{b}\x{1c}-\x{1f}\x{85}]"
+_CUT = r"([.!?])" + _SPACE + r"|\n"
+_SEAM = "\x01"
+_MAY_LINK = r"#|://|(?i:www\.)|\.[a-z]{2}"
+_MAY_MENU = r"[>»›/|•]|::"
+_END = r"[\pL\pN][.!?…](?:" + _SPACE + "|$)"
+
+
+def segments(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lines, and sentences within lines, of all texts of an array, and the text that each belongs to."""
+    lists = pc.split_pattern(pc.replace_substring_regex(texts, _CUT, "\\1" + _SEAM), _SEAM)
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    trimmed = pc.utf8_trim_whitespace(lists.flatten())
+    full = pc.not_equal(trimmed, "")
+    return trimmed.filter(full), of[full.to_numpy(zero_copy_only=False)]
+
+
+def redundancy(parts: list[str]) -> float | None:
+    """Mean compression ratio of the blocks of a text, by its segments in lower case; whole sentences that repeat are left
+    out, repeated lines without a sentence's end stay. A short rest belongs to the block before it, and a short text is
+    one block. None if there is nothing but white space."""
+    if len(set(parts)) < len(parts):
+        seen, kept = set(), []
+        for s in parts:
+            if s not in seen or not _CLOSED.search(s):
+                kept.append(s)
+                seen.add(s)
+        parts = kept
+    body = "\n".join(parts).encode()
     cuts = [*range(0, max(1, len(body) - LEAST_BLOCK + 1), BLOCK_BYTES), len(body)]
     blocks = [body[i:j] for i, j in zip(cuts, cuts[1:])]
     return sum(len(zlib.compress(b, 9)) / len(b) for b in blocks) / len(blocks) if body else None
 
 
-def ends_per_word(text: str) -> float:
-    """Sentence ends, after a letter or digit, for each run of characters between white space."""
-    return sum(m.start() > 0 and text[m.start() - 1].isalnum() for m in _END.finditer(text)) / max(1, len(text.split()))
-
-
-def parts(text: str) -> list[tuple[int, int, bool, list[str]]]:
-    """Of each segment: characters, those of links and tags, whether it is a menu entry, and its words beside links."""
-    out = []
-    linked = _may_link(text)
-    for s in segments(text):
-        links = 0
-        rest = s
-        if linked and _may_link(s):
-            links = sum(len(m.group()) for m in _LINK.finditer(s))
-            rest = _LINK.sub(" ", s)
-        words = _WORD.findall(rest.lower())
-        entries = len(_ENTRY.findall(s)) if _SEPARATOR.search(s) else 0
-        menu = bool(words) and entries >= 1 and not s.startswith("> ") and len(words) <= 3 * (entries + 1) and entries * 2 + 1 >= len(words) / 2
-        out.append((len(s), links, menu, words))
-    return out
+def _beside(s: str, link: bool, menu: bool) -> tuple[int, bool, str]:
+    """Of a segment that may have links or menu entries: the characters of links, whether it is all menu, and the rest."""
+    links, rest = 0, s
+    if link:
+        links = sum(len(m.group()) for m in _LINK.finditer(s))
+        rest = _LINK.sub(" ", s)
+    if menu:
+        words, entries = len(_WORD.findall(rest)), len(_ENTRY.findall(s))
+        menu = words > 0 and entries >= 1 and not s.startswith("> ") and words <= 3 * (entries + 1) and entries * 2 + 1 >= words / 2
+    return links, menu, rest
 
 
 SPLIT = "chars array<int>, sure array<int>, counts array<int>, words array<bigint>, others array<bigint>"
@@ -112,6 +104,23 @@ class _Codes(dict):
         return code
 
 
+def _word_codes(rests: pa.Array, code: Callable[[str], int]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the words of all texts of an array, in order, and the number of words of each text. Each distinct
+    run of characters between white space is parted into words once."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(rests))
+    found = lists.flatten().dictionary_encode()
+    parted = [_WORD.findall(w) for w in found.dictionary.to_pylist()]
+    sizes = np.fromiter(map(len, parted), np.int64, len(parted))
+    codes = np.fromiter((code(w) for ws in parted for w in ws), np.int64, int(sizes.sum()))
+    at = found.indices.to_numpy()
+    n = sizes[at]
+    row = np.repeat(np.arange(len(rests)), pc.list_value_length(lists).to_numpy())
+    # The words of a run follow each other from where the run's first one is.
+    first = np.cumsum(sizes) - sizes
+    flat = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return codes[flat], np.bincount(row, n, len(rests)).astype(np.int64)
+
+
 def _measured(batches: Iterator[pa.RecordBatch], step: int = 1000) -> Iterator[pa.RecordBatch]:
     """``(id, lang, size, text)`` to ``(id, lang, size, ratio, ends)`` and :data:`SPLIT`: of each segment the characters,
     those that are stuffed whatever its words (links, or all of a menu entry), and the number of words that decide
@@ -119,25 +128,34 @@ def _measured(batches: Iterator[pa.RecordBatch], step: int = 1000) -> Iterator[p
     code = _Codes().__getitem__
     for whole in batches:
         for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
-            texts = batch.column("text").to_pylist()
-            flat, ends = [array("i"), array("i"), array("i"), array("q"), array("q")], [[0] for _ in range(5)]
-            for t in texts:
-                chars, sure, counts, words, others = flat
-                beside = False
-                for n, links, menu, ws in parts(t):
-                    chars.append(n)
-                    sure.append(n if menu else links)
-                    counts.append(0 if menu else len(ws))
-                    if not menu:
-                        words.extend(map(code, ws))
-                    beside = beside or menu or links > 0
-                if beside:
-                    others.extend(set(map(code, _WORD.findall(t.lower()))).difference(words[ends[3][-1] :]))
-                for e, f in zip(ends, flat):
-                    e.append(len(f))
-            cols = [batch.column(c) for c in ("id", "lang", "size")]
-            cols += [pa.array(map(redundancy, texts), pa.float64()), pa.array(map(ends_per_word, texts), pa.float64())]
-            cols += [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(np.array(f, f"{f.typecode}"))) for e, f in zip(ends, flat)]
+            texts, rows = batch.column("text"), batch.num_rows
+            if not rows:
+                continue
+            rests, of = segments(texts)
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows))]).astype(np.int32)
+            low = pc.utf8_lower(rests).to_pylist()
+            ratios = [redundancy(low[i:j]) for i, j in zip(bounds, bounds[1:])]
+            runs = np.bincount(of, pc.list_value_length(pc.utf8_split_whitespace(rests)).to_numpy(), rows)
+            ends = pc.count_substring_regex(texts, _END).to_numpy() / np.maximum(1, runs)
+            chars = pc.utf8_length(rests).to_numpy()
+            sure, menus = np.zeros(len(rests), np.int32), np.zeros(len(rests), bool)
+            link, menu = (pc.match_substring_regex(rests, p).to_numpy(zero_copy_only=False) for p in (_MAY_LINK, _MAY_MENU))
+            if (odd := np.flatnonzero(link | menu)).size:
+                flat = rests.to_pylist()
+                for i in odd:
+                    links, menus[i], flat[i] = _beside(flat[i], link[i], menu[i])
+                    sure[i] = chars[i] if menus[i] else links
+                    if menus[i]:
+                        flat[i] = ""
+                rests = pa.array(flat, pa.string())
+            words, counts = _word_codes(rests, code)
+            last = np.concatenate([[0], np.cumsum(np.bincount(of, counts, rows).astype(np.int64))])
+            others: list[list[int]] = [[] for _ in range(rows)]
+            for i in np.unique(of[sure > 0]):
+                others[i] = sorted(set(map(code, _WORD.findall(texts[i].as_py().lower()))).difference(words[last[i] : last[i + 1]].tolist()))
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32)))
+            cols = [batch.column(c) for c in ("id", "lang", "size")] + [pa.array(ratios, pa.float64()), pa.array(ends, pa.float64())]
+            cols += [lists(chars), lists(sure), lists(counts), pa.ListArray.from_arrays(pa.array(last.astype(np.int32)), pa.array(words)), pa.array(others, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "lang", "size", "ratio", "ends", "chars", "sure", "counts", "words", "others"])
 
 
@@ -235,7 +253,8 @@ def norms(measured: DataFrame) -> DataFrame:
 def score_stuffing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = 4,
                    least_share: float = 0.4, extreme: float = 4.5, few_ends: float = 0.2, sole_extreme: float = 9.0,
                    sole_ends: float = 0.02) -> DataFrame:
-    """``(id, ratio, ends, deviation, share, stuffed)`` of every text that isn't blank.
+    """``(id, ratio, ends, deviation, by_compression, share, stuffed)`` of every text that isn't blank; by_compression:
+    what compression and sentence ends say without the word model, a seed.
 
     least_share: share of stuffed characters, as the model sees it, from which a text is reported; it stands for half
     of the true ones, as the model takes segments whose keywords are ordinary words as well for sentences. extreme,
@@ -260,12 +279,12 @@ def score_stuffing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(c) for c in ("id", "ratio", "ends", "deviation", "sole")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(shares(batch, *model.value))], names=["id", "ratio", "ends", "deviation", "sole", "share"])
+            cols = [batch.column(c) for c in ("id", "ratio", "ends", "deviation", "sole", "seed")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(shares(batch, *model.value))], names=["id", "ratio", "ends", "deviation", "sole", "seed", "share"])
 
     scored = split.withColumn("sole", over(sole_extreme, sole_ends)).select("id", "ratio", "ends", "deviation", "sole", "seed", "chars", "sure", "counts", "words")
-    scored = scored.mapInArrow(share, f"id {kind}, ratio double, ends double, deviation double, sole boolean, share double")
-    return scored.select("id", "ratio", "ends", "deviation", "share", ((F.col("share") > least_share) | F.col("sole")).alias("stuffed"))
+    scored = scored.mapInArrow(share, f"id {kind}, ratio double, ends double, deviation double, sole boolean, seed boolean, share double")
+    return scored.select("id", "ratio", "ends", "deviation", F.col("seed").alias("by_compression"), "share", ((F.col("share") > least_share) | F.col("sole")).alias("stuffed"))
 
 
 def stuffed_pages(docs: DataFrame, **params) -> DataFrame:

@@ -92,10 +92,16 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return p8_stuffing.score_stuffing(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def p8_by_compression(spark: SparkSession, d: str) -> DataFrame:
+    """What compression ratio and sentence ends report alone, to be held against p8_found."""
+    scores = p8_stuffing.score_stuffing(table(spark, d, "documents"))
+    return scores.filter("by_compression").select(F.col("id").alias("doc_id")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         p1_found, p1_groups, p2_found, p3_found, p3_unmatched, p4_found, p4_unmatched, p5_found, p5_pieces, p6_ids, p6_decoded,
-        p7_mix, p7_shares, p7_shard_quotas, p8_found, p8_scores)}
+        p7_mix, p7_shares, p7_shard_quotas, p8_found, p8_scores, p8_by_compression)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,10 @@ VERBS = "tests fades meets holds breaks clears".split()
 KEYS = "coupon academy robot cheap bundle signals login".split()
 
 
+def redundancy(text):
+    return p8.redundancy(p8.segments(pa.array([text.lower()]))[0].to_pylist())
+
+
 def sentence(rng):
     return f"The {rng.choice(NOUNS)} of the {rng.choice(NOUNS)} {rng.choice(VERBS)} the {rng.choice(NOUNS)} before {rng.randint(1, 12)}:{rng.randint(10, 59)}, and then I look at a {rng.choice(NOUNS)}."
 
@@ -70,10 +75,21 @@ def test_repeated_keywords_and_short_texts_are_measured(spark):
     assert {i for i, r in scores.items() if r["stuffed"]} == {1000, 1001} | set(range(2000, 2025))
     assert min(scores[i]["deviation"] for i in (1000, 1001)) > 4.5
     assert all(r["deviation"] is not None for r in scores.values())
-    assert p8.redundancy("x y. " * 3) == p8.redundancy("x y.")
+    assert redundancy("x y. " * 3) == redundancy("x y.")
 
 
 def test_no_bytes_are_left_out():
     rng = random.Random(11)
     body = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(600))
-    assert p8.redundancy(body + "z" * 100) < p8.redundancy(body)
+    assert redundancy(body + "z" * 100) < redundancy(body)
+
+
+def test_segments_and_sentence_ends():
+    texts = ["One. Two!\nthree\n\n  four?  five-six \u00a0", "", "a b.\u2003C. www.x.example", "…", "\n"]
+    cut, of = p8.segments(pa.array(texts))
+    assert list(zip(of.tolist(), cut.to_pylist())) == [(0, "One."), (0, "Two!"), (0, "three"), (0, "four?"), (0, "five-six"), (2, "a b."), (2, "C."), (2, "www.x.example"), (3, "…")]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["en"] * 5), pa.array([1] * 5), pa.array(texts)], names=["id", "lang", "size", "text"])
+    got = pa.Table.from_batches(p8._measured(iter([batch]))).to_pylist()
+    assert [r["ends"] for r in got] == [3 / 5, 0, 2 / 4, 0, 0] and got[4]["ratio"] is None
+    assert [r["counts"] for r in got] == [[1, 1, 1, 1, 2], [], [2, 1, 0], [0], []]
+    assert got[2]["sure"] == [0, 0, 13] and len(got[2]["others"]) == 3
