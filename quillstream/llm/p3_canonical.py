@@ -9,6 +9,9 @@ of its label or of one of its aliases was found in the phrase; words in between
 A repair is dropped if the token, in most phrases that have it, stands beside no other word of an entry: it is
 then a word of its own that only looks like one of the vocabulary.
 
+Words may be torn apart anywhere: every run of neighbouring tokens that is not longer than the longest vocabulary token
+and two edits is a token as well.
+
 Only distinct phrases and tokens are worked on; the result is joined to the rows at the end.
 
 Defined results: null, empty and blank phrases are left out; a phrase repeated in a record counts once; phrases that
@@ -19,18 +22,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstream.session import Scratch
 
 UNMATCHED = "unmatched"
+# Marks a token that was joined from neighbours.
+RUN = "+"
+ROWS_A_TASK = 20_000
 # Letters of other alphabets that look like Latin ones, and digits written for letters.
 LOOKALIKES = str.maketrans("асеорхуіјѕԁкмтвнгαορνικτΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТХ", "aceopxyijsdkmtbhraopviktABEZHIKMNOPTYXABEKMHOPCTX")
 DIGITS = str.maketrans("0134578", "oleastb")
@@ -50,94 +54,100 @@ def tokens_of(phrase: str) -> list[str]:
     return out
 
 
-def edits(a: str, b: str) -> int:
-    """Insertions, deletions, replacements and swaps of neighbours that turn a into b."""
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, before[j - 2] + 1)
-            row.append(best)
-        before, last = last, row
-    return last[-1]
-
+def _deleted(t: Column) -> Column:
+    """A text without each of its characters."""
+    return F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.left(t, i - 1), F.substr(t, i + 1)))
 
-def _lacking(a: str, b: str) -> int:
-    """Letters of one that the other doesn't have, the greater number: never more than their edits."""
-    x, y = Counter(a), Counter(b)
-    return max((x - y).total(), (y - x).total())
 
+def _swapped(t: Column) -> Column:
+    """A text with each two neighbouring characters swapped."""
+    at = lambda i, n: F.substr(t, i, F.lit(n))
+    swaps = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.concat(F.left(t, i - 1), at(i + 1, 1), at(i, 1), F.substr(t, i + 2)))
+    return F.when(F.length(t) > 1, swaps).otherwise(F.array().cast("array<string>"))
 
-def _consonants(t: str) -> str:
-    return t[:1] + re.sub(r"[aeiou]", "", t[1:])
 
+def edits(a: Column, b: Column) -> Column:
+    """Insertions, deletions, replacements and swaps of neighbours that turn a into b, where they are two at most; a
+    greater number or null else."""
+    plain = F.levenshtein(a, b, 4)
+    swaps = _swapped(a)
+    one = F.array_contains(swaps, b)
+    two = F.exists(swaps, lambda x: F.levenshtein(x, b, 1) >= 0) | F.arrays_overlap(swaps, _swapped(b))
+    return F.when(plain.between(0, 1), plain).when((plain >= 2) & one, 1).when((plain >= 3) & two, 2).when(plain >= 0, plain)
 
-def allowed_edits(n: int) -> int:
-    """Edits that a word of n letters may have."""
-    return 0 if n <= 4 else 1 if n == 5 else 2
 
+def _consonants(t: Column) -> Column:
+    return F.concat(F.left(t, F.lit(1)), F.regexp_replace(F.substr(t, F.lit(2)), "[aeiou]", ""))
 
-def keys_of(t: str, known: bool) -> list[str]:
-    """Keys under which a token and a vocabulary token meet. known: t is one of the vocabulary."""
-    out = {"=" + t}
-    if len(t) > 3:
-        for k in range(1, min(2, allowed_edits(len(t) + 1)) + 1):
-            out |= {"=" + "".join(c for i, c in enumerate(t) if i not in gone) for gone in combinations(range(len(t)), k)}
-    c = _consonants(t)
-    if len(c) >= 3:
-        out.add("c" + c)
-    if known:
-        out |= {"p" + t[:i] for i in range(4, len(t))}
-    elif len(t) >= 4:
-        out.add("p" + t)
-    return sorted(out)
-
-
-def similarity(token: str, known: str) -> float:
-    """1 for equal tokens, less for each edit; 0 for what is no writing of the vocabulary token."""
-    if token == known:
-        return 1.0
-    if len(known) <= 4:
-        return 0.0
-    if abs(len(token) - len(known)) <= 2 and _lacking(token, known) <= 2:
-        d = edits(token, known)
-        if d <= allowed_edits(len(known)) and d < len(token):
-            return 1.0 - d / len(known)
-    if token in (known + "s", known + "es"):
-        return 0.95
-    if _consonants(token) == _consonants(known) and len(_consonants(token)) >= 3:
-        return 0.8
-    if len(token) >= 4 and known.startswith(token):
-        return 0.75
-    return 0.0
 
+def allowed_edits(n: Column) -> Column:
+    """Edits that a word of n letters may have."""
+    return F.when(n <= 4, 0).when(n == 5, 1).otherwise(2)
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _tokens(phrases: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in phrases:
-        yield batch.map(lambda p: _with_joined(tokens_of(p)))
 
+def _plain(token: Column) -> Column:
+    return F.ltrim(token, F.lit(RUN))
 
-def _with_joined(tokens: list[str]) -> list[str]:
-    """Tokens without small words, and all of them joined, for what was torn apart or run together."""
-    words = [t for t in tokens if t not in SMALL_WORDS]
-    return list(dict.fromkeys([*words, "".join(tokens)])) if len(tokens) <= 8 else list(dict.fromkeys(words))
 
+def keys_of(token: Column, known: bool, longest: int) -> Column:
+    """Hashes under which a token and a vocabulary token meet: the token, with one or two characters deleted, its
+    consonants, and its beginnings. known: the token is one of the vocabulary.
 
-def _keys(known: bool):
+    A token more than two characters longer than the longest of the vocabulary is no edit of any, so it has no
+    deletions; a run has no consonants and beginnings.
+    """
+    t, none = _plain(token), F.array().cast("array<string>")
+    n = F.length(t)
+    one = F.when((n > 3) & (n <= longest + 2), _deleted(t)).otherwise(none)
+    two = F.when((n > 4) & (n <= longest + 2), F.flatten(F.transform(_deleted(t), _deleted))).otherwise(none)
+    c = _consonants(t)
+    begins = F.when(n > 4, F.transform(F.sequence(F.lit(4), n - 1), lambda i: F.left(t, i))).otherwise(none) if known else F.when(n >= 4, F.array(t)).otherwise(none)
+    tag = lambda p, a: F.transform(a, lambda x: F.concat(F.lit(p), x))
+    loose = F.concat(F.when(F.length(c) >= 3, F.array(F.concat(F.lit("c"), c))).otherwise(none), tag("p", begins))
+    every = F.concat(tag("=", F.concat(F.array(t), one, two)), F.when(token.startswith(RUN), none).otherwise(loose))
+    return F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))
+
+
+def similarity(token: Column, known: Column) -> Column:
+    """1 for equal tokens, less for each edit; 0 for what is no writing of the vocabulary token. A run of tokens may
+    have edits, but is no plural, abbreviation or beginning."""
+    t, word = _plain(token), ~token.startswith(RUN)
+    n, d = F.length(known), edits(t, known)
+    return (
+        F.when(t == known, 1.0)
+        .when(word & (n.between(3, 4)) & t.isin(F.concat(known, F.lit("s")), F.concat(known, F.lit("es"))), 0.95)
+        .when(n <= 4, 0.0)
+        .when((d <= allowed_edits(n)) & (d < F.length(t)), 1.0 - d / n)
+        .when(~word, 0.0)
+        .when(t == F.concat(known, F.lit("es")), 0.95)
+        .when((_consonants(t) == _consonants(known)) & (F.length(_consonants(t)) >= 3), 0.8)
+        .when((F.length(t) >= 4) & known.startswith(t), 0.75)
+        .otherwise(0.0)
+    )
+
+
+def with_runs(tokens: list[str], longest: int) -> list[str]:
+    """Tokens without small words; all of them joined, for what was run together with something between; and, marked
+    by :data:`RUN`, each run of neighbours that is no longer than any vocabulary token and two edits, for what was
+    torn apart."""
+    out = [t for t in tokens if t not in SMALL_WORDS] + ["".join(tokens)]
+    for i in range(len(tokens)):
+        run = tokens[i]
+        for t in tokens[i + 1 :]:
+            run += t
+            if len(run) > longest + 2:
+                break
+            out.append(RUN + run)
+    return list(dict.fromkeys(out))
+
+
+def _tokens(longest: int):
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def keys(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in tokens:
-            yield batch.map(lambda t: keys_of(t, known) if len(t) <= 40 else ["=" + t])
+    def tokens(phrases: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in phrases:
+            yield batch.map(lambda p: with_runs(tokens_of(p), longest))
 
-    return keys
-
-
-@F.pandas_udf(T.DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+    return tokens
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -155,26 +165,35 @@ def vocabulary_forms(vocabulary: DataFrame) -> DataFrame:
     joined = forms.filter(F.size("t") > 1).select("cid", F.concat(F.lit("+"), "form").alias("form"), F.array_join("t", "").alias("known"), F.lit(1).alias("parts"))
     whole = forms.filter(F.size("t") > 1).select("cid", F.concat(F.lit("+"), "form").alias("form"), F.regexp_replace(F.lower("form"), r"[^\p{L}\p{N}]+", "").alias("known"), F.lit(1).alias("parts"))
     every = apart.unionByName(joined).unionByName(whole).distinct()
-    n = F.count("*").over(Window.partitionBy())
-    df = every.groupBy("known").agg(F.countDistinct("form").alias("df")).withColumn("weight", F.log(F.lit(1.0) + n / F.col("df"))).drop("df")
+    # One row for the whole vocabulary.
+    n = every.agg(F.countDistinct("form").alias("n"))
+    df = every.groupBy("known").agg(F.countDistinct("form").alias("df")).join(F.broadcast(n)).select("known", F.log(F.lit(1.0) + F.col("n") / F.col("df")).alias("weight"))
     return every.join(df, "known")
 
 
+def _counted(df: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
+    seen = Observation()
+    out = scratch.cut(df.observe(seen, F.count("*").alias("n")), name)
+    return out, seen.get["n"]
+
+
+def _spread(df: DataFrame, rows: int) -> DataFrame:
+    """Much work for few bytes: partitions by count, as those by size would leave most cores idle."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_A_TASK))
+
+
 def map_phrases(phrases: DataFrame, vocabulary: DataFrame, scratch: Scratch, own_word_share: float = 0.5) -> DataFrame:
     """``(phrase, cid)`` of the distinct phrases, ``unmatched`` where no entry stands out."""
     forms = scratch.cut(vocabulary_forms(vocabulary), "forms")
-    # Little data, much work a row: partitions by count, as those by size would leave most cores idle.
-    n = int(phrases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = scratch.cut(phrases.select("phrase").distinct().repartition(n).withColumn("tokens", _tokens("phrase")), "phrases")
+    longest = forms.agg(F.max(F.length("known")).alias("n")).first()["n"] or 0
+    distinct, n = _counted(phrases.select("phrase").distinct(), scratch, "distinct")
+    split = scratch.cut(_spread(distinct, n).withColumn("tokens", _tokens(longest)("phrase")), "phrases")
     at = split.select("phrase", F.explode("tokens").alias("token"))
-    tokens = at.groupBy("token").agg(F.count("*").alias("in_phrases")).repartition(n)
-    left = tokens.select("token", "in_phrases", F.explode(_keys(False)("token")).alias("k"))
-    right = forms.select("known").distinct().select("known", F.explode(_keys(True)("known")).alias("k"))
+    tokens, n = _counted(at.groupBy("token").agg(F.count("*").alias("in_phrases")), scratch, "tokens")
+    left = _spread(tokens, n).select("token", "in_phrases", F.explode(keys_of(F.col("token"), False, longest)).alias("k"))
+    right = forms.select("known").distinct().select("known", F.explode(keys_of(F.col("known"), True, longest)).alias("k"))
     near = left.join(right, "k").select("token", "in_phrases", "known").distinct()
-    # What can't be similar is dropped before Python: two swaps are four edits here.
-    near = near.filter("levenshtein(token, known, 4) >= 0 or startswith(known, token) or length(token) < length(known)")
-    near = near.filter("abs(length(token) - length(known)) <= 2 or length(token) < length(known)")
-    near = near.repartition(n).withColumn("sim", _similarity("token", "known")).filter("sim > 0")
+    near = near.withColumn("sim", similarity(F.col("token"), F.col("known"))).filter("sim > 0")
     # A token that is in the vocabulary stands for itself only.
     exact = F.max(F.when(F.col("token") == F.col("known"), 1).otherwise(0)).over(Window.partitionBy("token"))
     near = scratch.cut(near.withColumn("exact", exact).filter("exact = 0 or token = known").drop("exact"), "repairs")

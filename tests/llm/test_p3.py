@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from quillstream.llm import p3_canonical as p3
 
@@ -29,10 +32,38 @@ def run(spark, phrases, vocab=VOCAB):
     return {r["concept_raw"]: r["cid"] for r in rows}
 
 
-def test_edits():
-    assert p3.edits("abcd", "abdc") == 1
-    assert p3.edits("", "ab") == 2
-    assert p3.edits("sweep", "swep") == 1
+def osa(a, b):
+    """Edits with swaps of neighbours, by the whole table."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_edits_and_keys_equal_brute_force(spark):
+    """Up to two edits are counted as they are, and all words within them share a key."""
+    rng = random.Random(2)
+    words = {"".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(150)} | {"abcd", "abdc", "badc", "x" * 30}
+    pairs = [(a, b, osa(a, b)) for a in sorted(words) for b in sorted(words)]
+    df = spark.createDataFrame(pairs, "a string, b string, d int")
+    col = F.col
+    shared = F.arrays_overlap(p3.keys_of(col("a"), False, 30), p3.keys_of(col("b"), True, 30))
+    got = df.select("a", "b", "d", p3.edits(col("a"), col("b")).alias("e"), shared.alias("shared"), p3.similarity(col("a"), col("b")).alias("sim")).collect()
+    for r in got:
+        assert r["e"] == r["d"] if r["d"] <= 2 else r["e"] is None or r["e"] >= 2, r
+        assert r["shared"] or r["sim"] == 0, r
+
+
+def test_torn_words_long_tokens_and_plurals(spark):
+    """Letters apart in over eight tokens, torn words within longer phrases, tokens of 60 letters, plurals of short words."""
+    long = "supercalibrated" * 4
+    vocab = [*VOCAB, ("long", long, "c", None), ("jump_igloo", "Igloo Jump", "c", None)]
+    want = {"p y l o n s w e e p": "sweep_pylon", "e m b e r h i n g e s": "hinge_ember", "my rip ple win dow on mondays and other days of the week": "window_ripple",
+            "the igloo jumps rule": "jump_igloo", long[:30] + "x" + long[31:]: "long", long[:40] + long[41:]: "long", "ripple swe ep": "unmatched", "y" * 60: "unmatched"}
+    assert run(spark, list(want), vocab) == want
 
 
 def test_empty_tables_and_long_phrases(spark):
