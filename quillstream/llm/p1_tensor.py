@@ -3,7 +3,8 @@
 Method: tensored banding. Two collections of ``m`` half keys, each the combination of ``k`` minhashes, are paired
 into ``m * m`` table keys, so 2*m*k minhashes serve as many tables as ``m * m * 2k`` would. Two records meet if any
 half key of each collection agrees; at similarity s that has the chance ``(1 - (1 - s**k)**m)**2``. Pairs that meet
-pass a sketch of two bits of each minhash inside the join and are verified exactly on their words.
+pass a sketch of two bits of each minhash and are verified exactly on their words. ``k`` follows the number of records,
+so that a record's meetings by chance stay bounded, and ``m`` follows ``k``, so that recall stays (:meth:`Tensor.for_records`).
 
 Records of the same distinct words form one class first: a class is one row of the join, however many records it
 has. Only records of equal raw texts are copies; many of them are given as a star instead of all pairs.
@@ -16,10 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillstream.operators.graph import star_components
@@ -40,6 +42,18 @@ class Tensor:
     slack: float = 4.0
     seed: int = 20240131
 
+    @classmethod
+    def for_records(cls, n: int, threshold: float, recall: float = 0.93, background: float = 0.15, most: float = 1000.0) -> Tensor:
+        """The tensor for n records. k: the least at which a record meets ``most`` others by chance, if unlike records
+        have ``background`` of their words in common; m: the least at which a pair at the threshold meets with the
+        chance ``recall``. So a record's chance meetings stay bounded as records grow, at the same recall."""
+        k = 2
+        while True:
+            k += 1
+            m = ceil(log(1 - sqrt(recall)) / log(1 - threshold**k))
+            if k == 12 or n * m * m * background ** (2 * k) <= most:
+                return cls(m, k)
+
 
 def words(*texts: str) -> Column:
     """The distinct words of columns taken together, sorted; case and punctuation aside."""
@@ -53,26 +67,35 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _signed(t: Tensor):
-    """``(cid, hashes)`` to ``(cid, keys, s0, s1, s2...)``, a batch at a time."""
+#: Fields of two bits in a long of a sketch.
+FIELDS = 31
+
+
+def _minhashes(t: Tensor):
+    """Minhashes of the lists ``hashes`` of a batch, one row for each of the ``2 * m * k`` functions."""
     n = 2 * t.m * t.k
     rng = np.random.default_rng(t.seed)
     mul = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, n, dtype=np.uint64)
-    per = 31
-    longs = -(-n // per)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        lists = batch.column("hashes")
+        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        starts = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
+        return np.stack([np.minimum.reduceat(_mixed(flat * mul[i] + add[i]), starts) for i in range(n)])
+
+    return of
+
+
+def _keyed(t: Tensor):
+    """``(cid, hashes)`` to ``(cid, keys)``, a batch at a time."""
+    minhashes = _minhashes(t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column("hashes")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            starts = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
-            rows = batch.num_rows
-            mins = np.empty((n, rows), np.uint64)
-            for i in range(n):
-                mins[i] = np.minimum.reduceat(_mixed(flat * mul[i] + add[i]), starts)
+            mins, rows = minhashes(batch), batch.num_rows
             half = np.zeros((2 * t.m, rows), np.uint64)
             for i in range(2 * t.m):
                 for j in range(t.k):
@@ -81,66 +104,90 @@ def _signed(t: Tensor):
             for i in range(t.m):
                 for j in range(t.m):
                     keys[:, i * t.m + j] = _mixed(half[i] * np.uint64(0xFF51AFD7ED558CCD) ^ half[t.m + j])
-            bits = _mixed(mins) >> np.uint64(62)
-            sketch = np.zeros((longs, rows), np.uint64)
-            for i in range(n):
-                sketch[i // per] |= bits[i] << np.uint64(2 * (i % per))
             at = pa.array(np.arange(rows + 1, dtype=np.int32) * (t.m * t.m))
-            cols = [batch.column("cid"), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64).ravel()))]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(s.view(np.int64)) for s in sketch],
-                                             names=["cid", "keys", *[f"s{i}" for i in range(longs)]])
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64).ravel()))], names=["cid", "keys"])
+
+    return run
 
-    return sign, n, longs
 
+def _sketched(t: Tensor):
+    """``(cid, hashes)`` to ``(cid, s0, s1...)``: two bits of each minhash, :data:`FIELDS` of them in a long."""
+    minhashes, longs = _minhashes(t), -(-2 * t.m * t.k // FIELDS)
 
-def _alike(n: int, longs: int, threshold: float, slack: float) -> str:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = _mixed(minhashes(batch)) >> np.uint64(62)
+            sketch = np.zeros((longs, batch.num_rows), np.uint64)
+            for i, field in enumerate(bits):
+                sketch[i // FIELDS] |= field << np.uint64(2 * (i % FIELDS))
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), *[pa.array(s.view(np.int64)) for s in sketch]], names=["cid", *[f"s{i}" for i in range(longs)]])
+
+    return run, longs
+
+
+def _alike(t: Tensor, longs: int, threshold: float) -> str:
     """SQL that holds if enough two-bit fields of both sketches agree: a field of a pair at similarity s agrees
     with the chance (1 + 3s) / 4."""
-    p = (1 + 3 * threshold) / 4
-    least = int(p * n - slack * (n * p * (1 - p)) ** 0.5)
-    differ = " + ".join(f"bit_count(((l.s{i} ^ r.s{i}) | shiftrightunsigned(l.s{i} ^ r.s{i}, 1)) & 6148914691236517205L)" for i in range(longs))
+    n, p = 2 * t.m * t.k, (1 + 3 * threshold) / 4
+    least = int(p * n - t.slack * (n * p * (1 - p)) ** 0.5)
+    differ = " + ".join(f"bit_count(((l_s{i} ^ r_s{i}) | shiftrightunsigned(l_s{i} ^ r_s{i}, 1)) & 6148914691236517205L)" for i in range(longs))
     return f"({differ}) <= {n - least}"
 
 
-def word_classes(records: DataFrame, id_col: str, texts: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``(id, cid, tid)`` of every record with words, and the classes ``(cid, words, n, rep)``; rep is the least id.
+def word_classes(records: DataFrame, id_col: str, texts: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """``(id, cid, tid)`` of every record with words, the classes ``(cid, words, n, rep)``, and how many there are; rep
+    is the least id. Classes are numbered, and told by their words, not by a hash of them.
     Records of equal raw texts share ``tid``; one that comes with several texts of a class has the least of them."""
     raw = F.xxhash64(F.to_json(F.array(*[F.coalesce(F.col(t), F.lit("")) for t in texts])))
     rows = records.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words(*texts).alias("words"), raw.alias("tid"))
-    rows = rows.filter(F.size("words") > 0).withColumn("cid", F.xxhash64("words"))
-    rows = scratch.cut(rows.groupBy("id", "cid").agg(F.first("words").alias("words"), F.min("tid").alias("tid")), "records")
-    classes = rows.groupBy("cid").agg(F.first("words").alias("words"), F.count("*").alias("n"), F.min("id").alias("rep"))
-    return rows.select("id", "cid", "tid"), scratch.cut(classes, "classes")
+    rows = rows.filter(F.size("words") > 0).withColumn("h", F.xxhash64("words"))
+    rows = scratch.cut(rows.groupBy("id", "h", "words").agg(F.min("tid").alias("tid")), "records")
+    seen = Observation()
+    classes = rows.groupBy("h", "words").agg(F.count("*").alias("n"), F.min("id").alias("rep")).withColumn("cid", F.monotonically_increasing_id())
+    classes = scratch.cut(classes.observe(seen, F.count("*").alias("classes")), "classes")
+    members = scratch.cut(rows.join(classes.select("h", "words", "cid"), ["h", "words"]).select("id", "cid", "tid"), "members")
+    return members, classes.drop("h"), seen.get["classes"]
 
 
-def similar_classes(classes: DataFrame, threshold: float, tensor: Tensor = Tensor()) -> DataFrame:
-    """``(a, b, jaccard)``, a < b: pairs of classes with at least ``threshold`` of their words in common."""
-    sign, n, longs = _signed(tensor)
-    sketch = ", ".join(f"s{i} bigint" for i in range(longs))
+def similar_classes(classes: DataFrame, threshold: float, tensor: Tensor, scratch: Scratch) -> DataFrame:
+    """``(a, b, jaccard)``, a < b: pairs of classes with at least ``threshold`` of their words in common.
+
+    Of the keys, ``(key, cid)`` is shuffled once. Most keys have one class: they end there, and the join sees the
+    others only. Pairs that met are tested by their sketches, and what is left by their words.
+    """
     hashed = classes.select("cid", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    signed = hashed.mapInArrow(sign, f"cid bigint, keys array<bigint>, {sketch}")
-    keyed = signed.select(F.explode("keys").alias("key"), "cid", *[f"s{i}" for i in range(longs)])
-    l, r = keyed.alias("l"), keyed.alias("r")
-    met = l.hint("merge").join(r, F.expr(f"l.key = r.key and l.cid < r.cid and {_alike(n, longs, threshold, tensor.slack)}"))
-    met = met.select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct()
+    keyed = hashed.mapInArrow(_keyed(tensor), "cid bigint, keys array<bigint>").select("cid", F.explode("keys").alias("key"))
+    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1").select("key", "cid")
+    shared = scratch.cut(shared, "shared_keys")
+    l, r = shared.alias("l"), shared.alias("r")
+    met = l.hint("merge").join(r, F.expr("l.key = r.key and l.cid < r.cid")).select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct()
+    sketch, longs = _sketched(tensor)
+    names = [f"s{i}" for i in range(longs)]
+    sketches = scratch.cut(hashed.mapInArrow(sketch, "cid bigint, " + ", ".join(f"{s} bigint" for s in names)), "sketches")
+    of = lambda p: sketches.select(*[F.col(c).alias(f"{p}_{c}") for c in ("cid", *names)])
+    near = met.join(of("l"), F.expr("a = l_cid")).join(of("r"), F.expr("b = r_cid")).filter(_alike(tensor, longs, threshold)).select("a", "b")
     wa = classes.select(F.col("cid").alias("a"), F.col("words").alias("wa"))
     wb = classes.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
-    both = met.join(wa, "a").join(wb, "b").withColumn("i", F.size(F.array_intersect("wa", "wb")))
+    both = near.join(wa, "a").join(wb, "b").withColumn("i", F.size(F.array_intersect("wa", "wb")))
     both = both.withColumn("u", F.size("wa") + F.size("wb") - F.col("i"))
     return both.filter(F.col("i") >= F.lit(threshold) * F.col("u") - 1e-9).select("a", "b", (F.col("i") / F.col("u")).alias("jaccard"))
 
 
-def similar_pairs(records: DataFrame, id_col: str, texts: list[str], threshold: float = 0.6, tensor: Tensor = Tensor(),
+def similar_pairs(records: DataFrame, id_col: str, texts: list[str], threshold: float = 0.6, tensor: Tensor | None = None,
                   expand_copies: int = 32) -> DataFrame:
     """``(id_a, id_b)``, the smaller first: pairs of different records that share enough words.
 
     Records of equal words are pairs as well. More than ``expand_copies`` records of equal raw texts are given as
-    pairs of their least id with each of the others, and meet other texts through that id. Different texts meet in
+    pairs of their least id with each of the others, and meet other texts through that id; :func:`similar_groups` gives
+    every record with its class and the number of records in it, and a high ``expand_copies`` all pairs. Different texts meet in
     full, whatever the size of their class; a class is split by its members, so no task has all of its pairs.
     """
     scratch = Scratch(records.sparkSession, "p1")
-    members, classes = word_classes(records, id_col, texts, scratch)
-    pairs = scratch.cut(similar_classes(classes, threshold, tensor).select("a", "b"), "pairs")
+    members, classes, n = word_classes(records, id_col, texts, scratch)
+    tensor = tensor or Tensor.for_records(n, threshold)
+    pairs = scratch.cut(similar_classes(classes, threshold, tensor, scratch).select("a", "b"), "pairs")
     copies = members.groupBy("tid", "cid").agg(F.count("*").alias("n"), F.min("id").alias("rep"))
     sized = scratch.cut(members.join(copies, ["tid", "cid"]), "sized")
     shown = sized.filter((F.col("n") <= expand_copies) | (F.col("id") == F.col("rep"))).select("cid", "id")
@@ -160,17 +207,20 @@ def similar_pairs(records: DataFrame, id_col: str, texts: list[str], threshold:
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def similar_groups(records: DataFrame, id_col: str, texts: list[str], threshold: float = 0.6, tensor: Tensor = Tensor()) -> DataFrame:
-    """``(id, group_id, links)`` of every record: the least id of its group, and the other classes it is similar to."""
+def similar_groups(records: DataFrame, id_col: str, texts: list[str], threshold: float = 0.6, tensor: Tensor | None = None) -> DataFrame:
+    """``(id, class_id, class_size, group_id, links)`` of every record: the least id of the records of equal words and
+    their number, the least id of its group, and how many other classes its class is similar to. A record that comes with
+    several texts has the least of its classes and groups, and the greatest of its numbers."""
     scratch = Scratch(records.sparkSession, "p1")
-    members, classes = word_classes(records, id_col, texts, scratch)
-    pairs = scratch.cut(similar_classes(classes, threshold, tensor).select("a", "b"), "pairs")
+    members, classes, n = word_classes(records, id_col, texts, scratch)
+    tensor = tensor or Tensor.for_records(n, threshold)
+    pairs = scratch.cut(similar_classes(classes, threshold, tensor, scratch).select("a", "b"), "pairs")
     labels = star_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     links = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("links"))
-    own = classes.select("cid", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").join(links, "cid", "left")
-    own = own.select("cid", "rep", F.coalesce("label", "cid").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    own = classes.select("cid", "rep", "n").join(labels.withColumnRenamed("node", "cid"), "cid", "left").join(links, "cid", "left")
+    own = own.select("cid", "rep", "n", F.coalesce("label", "cid").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     roots = own.groupBy("label").agg(F.min("rep").alias("group_id"))
-    grouped = members.select("id", "cid").join(own.join(roots, "label").select("cid", "group_id", "links"), "cid").select("id", "group_id", "links")
+    grouped = members.select("id", "cid").join(own.join(roots, "label"), "cid")
     bare = records.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().join(members.select("id"), "id", "left_anti")
-    return grouped.groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("links").alias("links")).unionByName(
-        bare.select("id", F.col("id").alias("group_id"), F.lit(0).cast("long").alias("links")))
+    return grouped.groupBy("id").agg(F.min("rep").alias("class_id"), F.max("n").alias("class_size"), F.min("group_id").alias("group_id"), F.max("links").alias("links")).unionByName(
+        bare.select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.col("id").alias("group_id"), F.lit(0).cast("long").alias("links")))

@@ -55,6 +55,22 @@ def test_groups_follow_pairs(spark, rows):
     assert g["empty"] == "empty"
 
 
+def test_keys_follow_the_number_of_records():
+    of = p1.Tensor.for_records
+    assert (of(80_000, 0.6).m, of(80_000, 0.6).k) == (14, 3)
+    ks = [of(10**e, 0.6).k for e in range(3, 11)]
+    assert ks == sorted(ks) and ks[-1] > ks[0]
+    for e in range(3, 11):
+        t = of(10**e, 0.6)
+        assert (1 - (1 - 0.6**t.k) ** t.m) ** 2 >= 0.93 and 10**e * t.m**2 * 0.15 ** (2 * t.k) <= 1000
+
+
+def test_classes_and_their_sizes(spark):
+    df = spark.createDataFrame([("b", "one two three", None, 0, ""), ("a", "three, one two", None, 0, ""), ("c", "one two three four", "", 0, ""), ("d", None, None, 0, "")], SCHEMA)
+    got = {r["id"]: (r["class_id"], r["class_size"], r["group_id"], r["links"]) for r in p1.similar_groups(df, "unit_id", ["summary", "verbatim_anchor"]).collect()}
+    assert got == {"a": ("a", 2, "a", 1), "b": ("a", 2, "a", 1), "c": ("c", 1, "a", 1), "d": ("d", 1, "d", 0)}
+
+
 def test_many_copies_are_stars(spark):
     df = spark.createDataFrame([(f"c{i:03d}", "one two three", None, i, "") for i in range(100)] + [("d", "one two three four", None, 0, "")], SCHEMA)
     got = {tuple(r) for r in p1.similar_pairs(df, "unit_id", ["summary", "verbatim_anchor"]).collect()}
