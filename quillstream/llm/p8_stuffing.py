@@ -10,8 +10,9 @@ those when they repeat no whole sentences. A seed alone isn't reported, as clipp
 as well; but in a seed, words too rare for the model speak for stuffing, so keywords of one page are found.
 
 Statistics, seeds, word model and scoring cover all documents. Each text is measured and split once; its words are
-kept as 64-bit codes, and a round counts in how many stuffed texts each code is. The codes in at least three texts
-and their odds go to every worker, twelve bytes a word.
+kept as slots of a table of fixed size (words of equal hash share one), and a round counts in how many stuffed texts
+each slot is. So the counts that come to the driver and the odds that go to every worker (16 MB) don't grow with the
+data. Slots in fewer than three texts have no odds.
 
 Defined results: null, empty and blank texts are never stuffed; rows of equal id count once, as stuffed if any is;
 whole texts are read, whatever their length; an empty table gives an empty result.
@@ -37,6 +38,8 @@ from quillstream.session import Scratch
 
 BLOCK_BYTES = 600
 LEAST_BLOCK = 150
+# The word model has so many slots, whatever the corpus; words are put into them by a hash.
+SLOTS = 1 << 22
 
 _WORD = re.compile(r"[^\W\d_]+")
 _LINK = re.compile(r"(?i:https?://|www\.)\S+|#[^\s#]+|(?<!\S)[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?:/\S*)?(?!\S)")
@@ -90,28 +93,28 @@ def _beside(s: str, link: bool, menu: bool) -> tuple[int, bool, str]:
     return links, menu, rest
 
 
-SPLIT = "chars array<int>, sure array<int>, counts array<int>, words array<bigint>, others array<bigint>"
+SPLIT = "chars array<int>, sure array<int>, counts array<int>, words array<int>, others array<int>"
 
 
 class _Codes(dict):
-    """Codes of words, remembered up to a bound."""
+    """Slots of words, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= 500_000:
             self.clear()
-        code = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        code = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") % SLOTS
         self[word] = code
         return code
 
 
 def _word_codes(rests: pa.Array, code: Callable[[str], int]) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of the words of all texts of an array, in order, and the number of words of each text. Each distinct
+    """The slots of the words of all texts of an array, in order, and the number of words of each text. Each distinct
     run of characters between white space is parted into words once."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(rests))
     found = lists.flatten().dictionary_encode()
     parted = [_WORD.findall(w) for w in found.dictionary.to_pylist()]
     sizes = np.fromiter(map(len, parted), np.int64, len(parted))
-    codes = np.fromiter((code(w) for ws in parted for w in ws), np.int64, int(sizes.sum()))
+    codes = np.fromiter((code(w) for ws in parted for w in ws), np.int32, int(sizes.sum()))
     at = found.indices.to_numpy()
     n = sizes[at]
     row = np.repeat(np.arange(len(rests)), pc.list_value_length(lists).to_numpy())
@@ -155,7 +158,7 @@ def _measured(batches: Iterator[pa.RecordBatch], step: int = 1000) -> Iterator[p
                 others[i] = sorted(set(map(code, _WORD.findall(texts[i].as_py().lower()))).difference(words[last[i] : last[i + 1]].tolist()))
             lists = lambda x: pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32)))
             cols = [batch.column(c) for c in ("id", "lang", "size")] + [pa.array(ratios, pa.float64()), pa.array(ends, pa.float64())]
-            cols += [lists(chars), lists(sure), lists(counts), pa.ListArray.from_arrays(pa.array(last.astype(np.int32)), pa.array(words)), pa.array(others, pa.list_(pa.int64()))]
+            cols += [lists(chars), lists(sure), lists(counts), pa.ListArray.from_arrays(pa.array(last.astype(np.int32)), pa.array(words)), pa.array(others, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "lang", "size", "ratio", "ends", "chars", "sure", "counts", "words", "others"])
 
 
@@ -165,15 +168,13 @@ def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
 
 
-def shares(batch: pa.RecordBatch, codes: np.ndarray, odds: np.ndarray, rare: float, least: float = 0.5) -> np.ndarray:
+def shares(batch: pa.RecordBatch, odds: np.ndarray, rare: float, least: float = 0.5) -> np.ndarray:
     """Of each row of a batch with :data:`SPLIT`, the share of the characters in segments whose words have mean log
-    odds over ``least``, in menu entries, tags and links; ``codes`` are sorted, and other words have the odds ``rare``
-    in a seed and 0 elsewhere."""
+    odds over ``least``, in menu entries, tags and links. Words in too few texts, whose odds are not a number, have the
+    odds ``rare`` in a seed and 0 elsewhere."""
     (chars, row), (sure, _), (counts, _), (words, of) = (_flat(batch, c) for c in ("chars", "sure", "counts", "words"))
-    known = np.where(batch.column("seed").to_numpy(zero_copy_only=False)[of], rare, 0.0)
-    if len(codes):
-        at = np.minimum(np.searchsorted(codes, words), len(codes) - 1)
-        known = np.where(codes[at] == words, odds[at], known)
+    known = odds[words].astype(float)
+    known = np.where(np.isnan(known), np.where(batch.column("seed").to_numpy(zero_copy_only=False)[of], rare, 0.0), known)
     total = np.bincount(np.repeat(np.arange(len(counts)), counts), known, len(counts))
     bad = np.where((counts > 0) & (total > least * counts), chars, sure)
     return np.bincount(row, bad, batch.num_rows) / np.maximum(1, np.bincount(row, chars, batch.num_rows))
@@ -185,8 +186,8 @@ def word_odds(inside: np.ndarray, every: np.ndarray, stuffed: int, texts: int, l
     return np.clip(odds, -limit, limit).astype(np.float32)
 
 
-def _presence(split: DataFrame, flags: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
-    """``(w, n)``: the number of flagged texts that have each word, and with null for ``w``, of all flagged texts."""
+def _presence(split: DataFrame, flags: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[np.ndarray, int]:
+    """In how many flagged texts each slot is, and the number of flagged texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,43 +196,35 @@ def _presence(split: DataFrame, flags: Callable[[pa.RecordBatch], np.ndarray]) -
             place, found = pd.factorize(np.concatenate([words, others]))
             pairs = pd.unique(np.concatenate([a, b]) * max(1, len(found)) + place)
             n = np.bincount(pairs % max(1, len(found)), minlength=len(found))
-            cols = [pa.array([*found.tolist(), None], pa.int64()), pa.array([*n.tolist(), batch.num_rows], pa.int64())]
+            cols = [pa.array([*found.tolist(), SLOTS], pa.int32()), pa.array([*n.tolist(), batch.num_rows], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["w", "n"])
 
-    return split.mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    # No more rows than there are slots, and one.
+    got = split.mapInArrow(count, "w int, n bigint").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS + 1, np.int64)
+    out[got.column("w").to_numpy()] = got.column("n").to_numpy()
+    return out[:SLOTS], int(out[SLOTS])
 
 
-def _fetched(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted codes in at least ``least`` texts, their texts, and the number of all texts."""
-    got = counts.filter((F.col("n") >= least) | F.col("w").isNull()).toArrow()
-    null = got.column("w").is_null().to_numpy()
-    w, n = got.column("w").fill_null(0).to_numpy(), got.column("n").to_numpy()
-    order = np.argsort(w[~null])
-    return w[~null][order], n[~null][order], int(n[null].sum())
-
-
-def fit_words(split: DataFrame, rounds: int, least_share: float, least_texts: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted word codes, their log odds, and those of a rarer word that is in one seed and one text beside the seeds;
-    taught by the rows whose ``seed`` is true and refined by all rows."""
+def fit_words(split: DataFrame, rounds: int, least_share: float, least_texts: int = 3) -> tuple[np.ndarray, float]:
+    """Log odds of the words of each slot, not a number for those in fewer than ``least_texts`` texts, and the odds of a
+    word that is in one seed and one text beside the seeds; taught by the rows whose ``seed`` is true and refined by all
+    rows."""
     sc = split.sparkSession.sparkContext
-    seeds = _presence(split.filter("seed"), lambda b: np.ones(b.num_rows, bool))
-    found, n, stuffed = _fetched(seeds, 1)
+    inside, stuffed = _presence(split.filter("seed"), lambda b: np.ones(b.num_rows, bool))
+    odds, rare = np.full(SLOTS, np.nan, np.float32), 0.0
     if not stuffed:
-        return found, n.astype(np.float32), 0.0
-    codes, every, texts = _fetched(_presence(split, lambda b: np.ones(b.num_rows, bool)), least_texts)
+        return odds, rare
+    every, texts = _presence(split, lambda b: np.ones(b.num_rows, bool))
     one = np.ones(1, np.int64)
     rare = max(0.0, float(word_odds(one, 2 * one, stuffed, texts)[0]))
-    odds = np.zeros(len(codes), np.float32)
     for i in range(rounds):
         if i:
-            model = sc.broadcast((codes, odds, rare))
-            found, n, stuffed = _fetched(_presence(split, lambda b: shares(b, *model.value) > least_share), 1)
+            model = sc.broadcast((odds, rare))
+            inside, stuffed = _presence(split, lambda b: shares(b, *model.value) > least_share)
             model.destroy()
-        _, a, b = np.intersect1d(codes, found, assume_unique=True, return_indices=True)
-        inside = np.zeros(len(codes), np.int64)
-        inside[a] = n[b]
-        odds = word_odds(inside, every, stuffed, texts)
-    return codes, odds, rare
+        odds = np.where(every >= least_texts, word_odds(inside, every, stuffed, texts), np.float32(np.nan))
+    return odds, rare
 
 
 def _length_class(text: Column) -> Column:
