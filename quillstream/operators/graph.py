@@ -21,30 +21,46 @@ def _star(pairs: DataFrame, keep: Column, with_center: bool) -> DataFrame:
     return linked.filter("u <> v").distinct()
 
 
+def _jumped(forest: DataFrame, scratch: Scratch, max_rounds: int) -> DataFrame:
+    """Each vertex of a forest ``(u, v)``, ``v`` the only parent of ``u``, with its root instead of its parent."""
+    for _ in range(max_rounds):
+        up = forest.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        seen = Observation()
+        step = forest.join(up, "v", "left").observe(seen, F.count("w").alias("moved")).select("u", F.coalesce("w", "v").alias("v"))
+        nxt = scratch.cut(step, "jumped")
+        scratch.drop(forest)
+        forest = nxt
+        if not seen.get["moved"]:
+            return forest
+    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+
+
 def star_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Label every vertex of ``edges(u, v)`` with the least vertex of its component: ``(node, label)``.
 
-    Large-star and small-star steps alternate until the forest is a set of stars. Self loops and nulls link
-    nothing. Rounds grow with the logarithm of the longest chain.
+    Large-star and small-star steps alternate until each vertex has one parent, less than itself; then vertices jump to
+    the parents of their parents up to the roots, by one join a round. Self loops and nulls link nothing. Rounds grow
+    with the logarithm of the longest chain.
     """
     cur = scratch.cut(
         edges.filter("u is not null and v is not null and u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "forest")
-    seen = None
+    before = None
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, F.col("v") > F.col("u"), with_center=False)
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         found = Observation()
-        forest = _star(down, F.lit(True), with_center=True).observe(found, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        nxt = scratch.cut(forest, "forest")
-        state = found.get
+        nxt = scratch.cut(_star(down, F.lit(True), with_center=True).observe(found, F.count("*").alias("n")), "forest")
+        n = found.get["n"]
         scratch.drop(cur)
         cur = nxt
-        if state == seen:
+        # A forest has as many edges as vertices with a parent; while edges become fewer it is none yet.
+        if n == before and cur.groupBy("u").count().filter("count > 1").isEmpty():
             break
-        seen = state
+        before = n
     else:
         raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+    cur = _jumped(cur, scratch, max_rounds)
     return cur.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
