@@ -3,7 +3,7 @@
 Method: tensored banding. Two collections of ``m`` half keys, each the combination of ``k`` minhashes, are paired
 into ``m * m`` table keys, so 2*m*k minhashes serve as many tables as ``m * m * 2k`` would. Two records meet if any
 half key of each collection agrees; at similarity s that has the chance ``(1 - (1 - s**k)**m)**2``. Pairs that meet
-pass a sketch of two bits of each minhash and are verified exactly on their words. ``k`` follows the number of records,
+pass a sketch of two bits of each minhash inside the join and are verified exactly on their words. ``k`` follows the number of records,
 so that a record's meetings by chance stay bounded, and ``m`` follows ``k``, so that recall stays (:meth:`Tensor.for_records`).
 
 Records of the same distinct words form one class first: a class is one row of the join, however many records it
@@ -71,31 +71,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 FIELDS = 31
 
 
-def _minhashes(t: Tensor):
-    """Minhashes of the lists ``hashes`` of a batch, one row for each of the ``2 * m * k`` functions."""
+def _signed(t: Tensor):
+    """``(cid, hashes)`` to ``(cid, keys, s0, s1...)``, a batch at a time: the table keys, and two bits of each minhash,
+    :data:`FIELDS` of them in a long; and the number of these longs."""
     n = 2 * t.m * t.k
     rng = np.random.default_rng(t.seed)
     mul = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, n, dtype=np.uint64)
+    longs = -(-n // FIELDS)
 
-    def of(batch: pa.RecordBatch) -> np.ndarray:
-        lists = batch.column("hashes")
-        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        starts = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
-        return np.stack([np.minimum.reduceat(_mixed(flat * mul[i] + add[i]), starts) for i in range(n)])
-
-    return of
-
-
-def _keyed(t: Tensor):
-    """``(cid, hashes)`` to ``(cid, keys)``, a batch at a time."""
-    minhashes = _minhashes(t)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mins, rows = minhashes(batch), batch.num_rows
+            lists, rows = batch.column("hashes"), batch.num_rows
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            starts = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
+            mins = np.stack([np.minimum.reduceat(_mixed(flat * mul[i] + add[i]), starts) for i in range(n)])
             half = np.zeros((2 * t.m, rows), np.uint64)
             for i in range(2 * t.m):
                 for j in range(t.k):
@@ -104,27 +96,15 @@ def _keyed(t: Tensor):
             for i in range(t.m):
                 for j in range(t.m):
                     keys[:, i * t.m + j] = _mixed(half[i] * np.uint64(0xFF51AFD7ED558CCD) ^ half[t.m + j])
+            bits = _mixed(mins) >> np.uint64(62)
+            sketch = np.zeros((longs, rows), np.uint64)
+            for i in range(n):
+                sketch[i // FIELDS] |= bits[i] << np.uint64(2 * (i % FIELDS))
             at = pa.array(np.arange(rows + 1, dtype=np.int32) * (t.m * t.m))
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64).ravel()))], names=["cid", "keys"])
+            cols = [batch.column("cid"), pa.ListArray.from_arrays(at, pa.array(keys.view(np.int64).ravel()))]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(s.view(np.int64)) for s in sketch], names=["cid", "keys", *[f"s{i}" for i in range(longs)]])
 
-    return run
-
-
-def _sketched(t: Tensor):
-    """``(cid, hashes)`` to ``(cid, s0, s1...)``: two bits of each minhash, :data:`FIELDS` of them in a long."""
-    minhashes, longs = _minhashes(t), -(-2 * t.m * t.k // FIELDS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits = _mixed(minhashes(batch)) >> np.uint64(62)
-            sketch = np.zeros((longs, batch.num_rows), np.uint64)
-            for i, field in enumerate(bits):
-                sketch[i // FIELDS] |= field << np.uint64(2 * (i % FIELDS))
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), *[pa.array(s.view(np.int64)) for s in sketch]], names=["cid", *[f"s{i}" for i in range(longs)]])
-
-    return run, longs
+    return sign, longs
 
 
 def _alike(t: Tensor, longs: int, threshold: float) -> str:
@@ -132,7 +112,7 @@ def _alike(t: Tensor, longs: int, threshold: float) -> str:
     with the chance (1 + 3s) / 4."""
     n, p = 2 * t.m * t.k, (1 + 3 * threshold) / 4
     least = int(p * n - t.slack * (n * p * (1 - p)) ** 0.5)
-    differ = " + ".join(f"bit_count(((l_s{i} ^ r_s{i}) | shiftrightunsigned(l_s{i} ^ r_s{i}, 1)) & 6148914691236517205L)" for i in range(longs))
+    differ = " + ".join(f"bit_count(((l.s{i} ^ r.s{i}) | shiftrightunsigned(l.s{i} ^ r.s{i}, 1)) & 6148914691236517205L)" for i in range(longs))
     return f"({differ}) <= {n - least}"
 
 
@@ -154,20 +134,18 @@ def word_classes(records: DataFrame, id_col: str, texts: list[str], scratch: Scr
 def similar_classes(classes: DataFrame, threshold: float, tensor: Tensor, scratch: Scratch) -> DataFrame:
     """``(a, b, jaccard)``, a < b: pairs of classes with at least ``threshold`` of their words in common.
 
-    Of the keys, ``(key, cid)`` is shuffled once. Most keys have one class: they end there, and the join sees the
-    others only. Pairs that met are tested by their sketches, and what is left by their words.
+    The keys are shuffled once, with the sketch beside them: the keys of a class follow each other there, so that it
+    compresses to little. Most keys have one class: they end there, and the join sees the others only.
     """
+    sign, longs = _signed(tensor)
+    names = [f"s{i}" for i in range(longs)]
     hashed = classes.select("cid", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    keyed = hashed.mapInArrow(_keyed(tensor), "cid bigint, keys array<bigint>").select("cid", F.explode("keys").alias("key"))
-    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1").select("key", "cid")
-    shared = scratch.cut(shared, "shared_keys")
+    keyed = hashed.mapInArrow(sign, "cid bigint, keys array<bigint>, " + ", ".join(f"{s} bigint" for s in names))
+    keyed = keyed.select("cid", *names, F.explode("keys").alias("key"))
+    shared = scratch.cut(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1").drop("n"), "shared_keys")
     l, r = shared.alias("l"), shared.alias("r")
-    met = l.hint("merge").join(r, F.expr("l.key = r.key and l.cid < r.cid")).select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct()
-    sketch, longs = _sketched(tensor)
-    names = [f"s{i}" for i in range(longs)]
-    sketches = scratch.cut(hashed.mapInArrow(sketch, "cid bigint, " + ", ".join(f"{s} bigint" for s in names)), "sketches")
-    of = lambda p: sketches.select(*[F.col(c).alias(f"{p}_{c}") for c in ("cid", *names)])
-    near = met.join(of("l"), F.expr("a = l_cid")).join(of("r"), F.expr("b = r_cid")).filter(_alike(tensor, longs, threshold)).select("a", "b")
+    near = l.hint("merge").join(r, F.expr(f"l.key = r.key and l.cid < r.cid and {_alike(tensor, longs, threshold)}"))
+    near = near.select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct()
     wa = classes.select(F.col("cid").alias("a"), F.col("words").alias("wa"))
     wb = classes.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
     both = near.join(wa, "a").join(wb, "b").withColumn("i", F.size(F.array_intersect("wa", "wb")))

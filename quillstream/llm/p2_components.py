@@ -104,7 +104,7 @@ def group_links(links: DataFrame, scratch: Scratch, max_peel_rounds: int = 16) -
     peeled = _peel(edges, scratch, vertices, max_peel_rounds)
     if peeled is None:
         return ids.select(F.col("name").alias("group_name"), "name")
-    reached, least = scratch.cut(peeled.reached.withColumn("in", F.lit(True)), "reached"), peeled.least
+    reached, least = peeled.reached.withColumn("in", F.lit(True)), peeled.least
     if peeled.whole:
         # No edge leaves what was reached.
         left = peeled.rest.filter("u > v").join(reached.select(F.col("id").alias("u")), "u", "left_anti")

@@ -10,7 +10,7 @@ A repair is dropped if the token, in most phrases that have it, stands beside no
 then a word of its own that only looks like one of the vocabulary.
 
 Words may be torn apart anywhere: every run of neighbouring tokens that is not longer than the longest vocabulary token
-and two edits is a token as well.
+and two edits is a token as well, and may have one edit more.
 
 Only distinct phrases and tokens are worked on; the result is joined to the rows at the end.
 
@@ -59,6 +59,16 @@ def _deleted(t: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.left(t, i - 1), F.substr(t, i + 1)))
 
 
+def _twice_deleted(t: Column) -> Column:
+    """A text of two characters at least without each two of its characters."""
+
+    def after(i: Column) -> Column:
+        head, rest = F.left(t, i - 1), F.substr(t, i + 1)
+        return F.transform(F.sequence(F.lit(1), F.length(t) - i), lambda j: F.concat(head, F.left(rest, j - 1), F.substr(rest, j + 1)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.length(t) - 1), after))
+
+
 def _swapped(t: Column) -> Column:
     """A text with each two neighbouring characters swapped."""
     at = lambda i, n: F.substr(t, i, F.lit(n))
@@ -94,30 +104,30 @@ def keys_of(token: Column, known: bool, longest: int) -> Column:
     consonants, and its beginnings. known: the token is one of the vocabulary.
 
     A token more than two characters longer than the longest of the vocabulary is no edit of any, so it has no
-    deletions; a run has no consonants and beginnings.
+    deletions; a run has no consonants and beginnings, and one deletion at most.
     """
     t, none = _plain(token), F.array().cast("array<string>")
     n = F.length(t)
     one = F.when((n > 3) & (n <= longest + 2), _deleted(t)).otherwise(none)
-    two = F.when((n > 4) & (n <= longest + 2), F.flatten(F.transform(_deleted(t), _deleted))).otherwise(none)
+    two = F.when((n > 4) & (n <= longest + 2) & ~token.startswith(RUN), _twice_deleted(t)).otherwise(none)
     c = _consonants(t)
     begins = F.when(n > 4, F.transform(F.sequence(F.lit(4), n - 1), lambda i: F.left(t, i))).otherwise(none) if known else F.when(n >= 4, F.array(t)).otherwise(none)
     tag = lambda p, a: F.transform(a, lambda x: F.concat(F.lit(p), x))
     loose = F.concat(F.when(F.length(c) >= 3, F.array(F.concat(F.lit("c"), c))).otherwise(none), tag("p", begins))
     every = F.concat(tag("=", F.concat(F.array(t), one, two)), F.when(token.startswith(RUN), none).otherwise(loose))
-    return F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))
+    return F.transform(every, lambda x: F.xxhash64(x))
 
 
 def similarity(token: Column, known: Column) -> Column:
     """1 for equal tokens, less for each edit; 0 for what is no writing of the vocabulary token. A run of tokens may
-    have edits, but is no plural, abbreviation or beginning."""
+    have one edit, but is no plural, abbreviation or beginning."""
     t, word = _plain(token), ~token.startswith(RUN)
     n, d = F.length(known), edits(t, known)
     return (
         F.when(t == known, 1.0)
         .when(word & (n.between(3, 4)) & t.isin(F.concat(known, F.lit("s")), F.concat(known, F.lit("es"))), 0.95)
         .when(n <= 4, 0.0)
-        .when((d <= allowed_edits(n)) & (d < F.length(t)), 1.0 - d / n)
+        .when((d <= F.when(word, allowed_edits(n)).otherwise(1)) & (d < F.length(t)), 1.0 - d / n)
         .when(~word, 0.0)
         .when(t == F.concat(known, F.lit("es")), 0.95)
         .when((_consonants(t) == _consonants(known)) & (F.length(_consonants(t)) >= 3), 0.8)
@@ -182,12 +192,11 @@ def _spread(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_A_TASK))
 
 
-def map_phrases(phrases: DataFrame, vocabulary: DataFrame, scratch: Scratch, own_word_share: float = 0.5) -> DataFrame:
-    """``(phrase, cid)`` of the distinct phrases, ``unmatched`` where no entry stands out."""
+def map_phrases(phrases: DataFrame, n: int, vocabulary: DataFrame, scratch: Scratch, own_word_share: float = 0.5) -> DataFrame:
+    """``(phrase, cid)`` of the distinct ones of n phrases, ``unmatched`` where no entry stands out."""
     forms = scratch.cut(vocabulary_forms(vocabulary), "forms")
     longest = forms.agg(F.max(F.length("known")).alias("n")).first()["n"] or 0
-    distinct, n = _counted(phrases.select("phrase").distinct(), scratch, "distinct")
-    split = scratch.cut(_spread(distinct, n).withColumn("tokens", _tokens(longest)("phrase")), "phrases")
+    split = scratch.cut(_spread(phrases.select("phrase").distinct(), n).withColumn("tokens", _tokens(longest)("phrase")), "phrases")
     at = split.select("phrase", F.explode("tokens").alias("token"))
     tokens, n = _counted(at.groupBy("token").agg(F.count("*").alias("in_phrases")), scratch, "tokens")
     left = _spread(tokens, n).select("token", "in_phrases", F.explode(keys_of(F.col("token"), False, longest)).alias("k"))
@@ -195,8 +204,9 @@ def map_phrases(phrases: DataFrame, vocabulary: DataFrame, scratch: Scratch, own
     near = left.join(right, "k").select("token", "in_phrases", "known").distinct()
     near = near.withColumn("sim", similarity(F.col("token"), F.col("known"))).filter("sim > 0")
     # A token that is in the vocabulary stands for itself only.
-    exact = F.max(F.when(F.col("token") == F.col("known"), 1).otherwise(0)).over(Window.partitionBy("token"))
-    near = scratch.cut(near.withColumn("exact", exact).filter("exact = 0 or token = known").drop("exact"), "repairs")
+    same = _plain(F.col("token")) == F.col("known")
+    exact = F.max(F.when(same, 1).otherwise(0)).over(Window.partitionBy("token"))
+    near = scratch.cut(near.withColumn("exact", exact).filter((F.col("exact") == 0) | same).drop("exact"), "repairs")
 
     hits = at.join(near, "token").join(forms, "known").groupBy("phrase", "cid", "form", "parts", "known", "weight").agg(F.max(F.struct("sim", "token", "in_phrases")).alias("b"))
     by_form = Window.partitionBy("phrase", "cid", "form")
@@ -218,8 +228,8 @@ def map_concepts(units: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(unit_id, concept_raw, cid)``: each distinct phrase of a unit with its entry or ``unmatched``."""
     scratch = Scratch(units.sparkSession, "p3")
     rows = units.select("unit_id", F.explode("metadata.concepts_raw").alias("concept_raw"))
-    rows = scratch.cut(rows.filter(F.col("concept_raw").rlike(r"(?U)\S") & F.col("unit_id").isNotNull()).distinct(), "rows")
-    found = scratch.cut(map_phrases(rows.select(F.col("concept_raw").alias("phrase")), vocabulary, scratch), "found")
+    rows, n = _counted(rows.filter(F.col("concept_raw").rlike(r"(?U)\S") & F.col("unit_id").isNotNull()).distinct(), scratch, "rows")
+    found = map_phrases(rows.select(F.col("concept_raw").alias("phrase")), n, vocabulary, scratch)
     return rows.join(found.withColumnRenamed("phrase", "concept_raw"), "concept_raw").select("unit_id", "concept_raw", "cid")
 
 
