@@ -97,3 +97,16 @@ def consensus(models: list[Column]) -> Column:
     for m in models[1:]:
         same = same & F.coalesce(models[0] == m, F.lit(False))
     return F.when(same, models[0])
+
+
+def crop_box(width: Column, height: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    """``struct(x1, y1, x2, y2)`` in pixels of a box given as shares, within the frame and at least one pixel."""
+    start = lambda n, share: F.least(F.greatest((n * share).cast("int"), F.lit(0)), n - 1)
+    end = lambda n, share, a: F.least(F.greatest((n * share).cast("int"), a + 1), n)
+    x1, y1 = start(width, left), start(height, top)
+    return F.struct(x1.alias("x1"), y1.alias("y1"), end(width, right, x1).alias("x2"), end(height, bottom, y1).alias("y2"))
+
+
+def nearest_measure(distances: Column) -> Column:
+    """``struct(value, key)`` of the least entry of a map, the first key in order on ties; null for an empty map."""
+    return F.array_min(F.transform(F.map_entries(distances), lambda e: F.struct(e["value"].alias("value"), e["key"].alias("key"))))

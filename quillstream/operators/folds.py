@@ -1,11 +1,14 @@
 """Order-dependent operators: folds over the rows of a key in order.
 
-A fold whose state is one row runs inside the JVM, over an array of the key's rows. Where state must outlive a
-batch or rows of a key don't fit an array, the streaming twins in ``quillstream.streaming`` keep it.
+A fold whose state is one row takes the sorted rows of a partition as they pass by; folds over the lines of one text
+run inside the JVM, over its array. Where state must outlive a run, the streaming twins in ``quillstream.streaming`` keep it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,21 +17,29 @@ def reference_dedup(rows: DataFrame, key: str, order: list[str], ident: str, val
     """``(key, ident, reference, is_duplicate)``: each row against the last row that was kept.
 
     A row within ``near`` of the reference's value is its duplicate; else it becomes the reference. A null value is
-    always kept.
+    always kept. What is kept depends on all rows before, so a key is one task's; it is sorted on disk if need be and
+    passes by in batches, with one row as state.
     """
-    item = F.struct(*order, F.col(ident).alias("_id"), F.col(value).alias("_v"))
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("a"))
-    empty = F.struct(F.lit(None).cast(rows.schema[ident].dataType).alias("ref"), F.lit(None).cast("double").alias("rv"),
-                     F.array().cast(f"array<struct<id:{rows.schema[ident].dataType.simpleString()},ref:{rows.schema[ident].dataType.simpleString()},dup:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        dup = F.coalesce(F.abs(x["_v"].cast("double") - acc["rv"]) <= near, F.lit(False))
-        ref, rv = F.when(dup, acc["ref"]).otherwise(x["_id"]), F.when(dup, acc["rv"]).otherwise(x["_v"].cast("double"))
-        one = F.struct(x["_id"].alias("id"), ref.alias("ref"), dup.alias("dup"))
-        return F.struct(ref.alias("ref"), rv.alias("rv"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    folded = listed.select(key, F.explode(F.aggregate("a", empty, step, lambda acc: acc["out"])).alias("r"))
-    return folded.select(key, F.col("r.id").alias(ident), F.col("r.ref").alias("reference"), F.col("r.dup").alias("is_duplicate"))
+    ident_type, key_type = rows.schema[ident].dataType.simpleString(), rows.schema[key].dataType.simpleString()
+    put = rows.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(ident).alias("_id"), F.col(value).cast("double").alias("_v"))
+    put = put.repartition("_k").sortWithinPartitions("_k", *[f"_o{i}" for i in range(len(order))]).select("_k", "_id", "_v")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ref, last = object(), None, None
+        for b in batches:
+            out: tuple[list, list] = ([], [])
+            for k, i, v in zip(*(b.column(c).to_pylist() for c in ("_k", "_id", "_v"))):
+                if k != at:
+                    at, ref, last = k, None, None
+                dup = v is not None and last is not None and abs(v - last) <= near
+                if not dup:
+                    ref, last = i, v
+                out[0].append(ref)
+                out[1].append(dup)
+            cols = [b.column("_k"), b.column("_id"), pa.array(out[0], b.schema.field("_id").type), pa.array(out[1], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=[key, ident, "reference", "is_duplicate"])
+
+    return put.mapInArrow(fold, f"`{key}` {key_type}, `{ident}` {ident_type}, reference {ident_type}, is_duplicate boolean")
 
 
 def lookback(rows: DataFrame, order: str, ident: str, k: int, hit: Column, prefix: tuple[str, str] = ("a", "b")) -> DataFrame:

@@ -64,3 +64,8 @@ def star_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) ->
     cur = _jumped(cur, scratch, max_rounds)
     return cur.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def keep_first(labels: DataFrame) -> DataFrame:
+    """``(keep, remove)`` of groups labelled by their least member: one row for each other member."""
+    return labels.filter("node <> label").select(F.col("label").alias("keep"), F.col("node").alias("remove"))

@@ -118,3 +118,27 @@ def json_object(text: Column) -> Column:
     inner = F.regexp_extract(s, r"(?s)(\{.*\})", 1)
     single = F.regexp_extract(s, r"(?s)^\[\s*(\{.*\})\s*\]$", 1)
     return F.nullif(F.when(s.startswith("["), single).otherwise(inner), F.lit(""))
+
+
+def reading_units(readings: DataFrame) -> DataFrame:
+    """Units from readings of images: ``(stem, is_method, name, framework, inferred, mechanics)`` to ``(stem,
+    knowledge_type, testability, confidence, summary, entry, answers)``.
+
+    A method becomes a setup, whose entry is its mechanics one after the other; any other page a framework, named after
+    the framework unless that is ``other``, which answers its first two inferred points.
+    """
+    named = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    method, text = F.coalesce(F.col("is_method"), F.lit(False)), lambda c: F.coalesce(c, F.lit(""))
+    lines = F.transform("mechanics", lambda m: F.concat(text(m["name"]), F.lit(": "), text(m["description"]), F.lit(" (Risk: "), text(m["risk_reward"]), F.lit(")")))
+    framed = named("framework").isNotNull() & (F.col("framework") != "other")
+    page = F.when(framed, F.concat("framework", F.lit(" reference: "), "stem")).otherwise(F.coalesce(named("name"), F.concat(F.lit("Reference page: "), "stem")))
+    return readings.select(
+        "stem", F.when(method, "setup").otherwise("framework").alias("knowledge_type"), F.when(method, "partially").otherwise("not_testable").alias("testability"),
+        F.when(method, 0.7).otherwise(0.6).alias("confidence"), F.when(method, F.coalesce(named("name"), F.concat(F.lit("Chart setup: "), "stem"))).otherwise(page).alias("summary"),
+        F.when(method, F.nullif(F.array_join(lines, "; "), F.lit(""))).alias("entry"), F.when(~method, F.nullif(F.array_join(F.slice("inferred", 1, 2), "; "), F.lit(""))).alias("answers"))
+
+
+def committed(reviews: DataFrame, status: str, target: str) -> tuple[DataFrame, DataFrame]:
+    """Approved reviews, parted into units and journal records; others are left out."""
+    ok = reviews.filter(F.col(status) == "approved")
+    return ok.filter(F.coalesce(F.col(target) != "journal", F.lit(True))), ok.filter(F.col(target) == "journal")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,14 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation of two vectors of equal length; null if either is constant."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    less = lambda v, m: F.transform(v, lambda x: x.cast("double") - m)
+    x, y = less(a, total(a) / F.size(a)), less(b, total(b) / F.size(b))
+    return dot(x, y) / F.nullif(F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)), F.lit(0.0))
+
+
 def topk(rows: DataFrame, vector: str, query: list[float], k: int = 8, where: list[Column] | None = None, tie: str = "vec_id") -> DataFrame:
     """The ``k`` rows of least cosine distance among those that pass every predicate, as ``distance``.
 
@@ -40,8 +49,11 @@ def topk_each(rows: DataFrame, vector: str, queries: DataFrame, k: int = 8, wher
 
 
 def dhash(vector: Column, dims: int) -> Column:
-    """Bit i is set where element i + 1 exceeds element i; dims - 1 bits, at most 63."""
-    bits = [F.shiftleft((F.get(vector, F.lit(i + 1)) > F.get(vector, F.lit(i))).cast("long"), i) for i in range(min(dims - 1, 63))]
+    """Bit i is set where element i + 1 exceeds element i; dims - 1 bits. A hash is one long: more than 65 dimensions are
+    an error, to be shrunk before."""
+    if dims > 65:
+        raise ValueError("more than 64 bits")
+    bits = [F.shiftleft((F.get(vector, F.lit(i + 1)) > F.get(vector, F.lit(i))).cast("long"), i) for i in range(dims - 1)]
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
@@ -49,32 +61,53 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def hash_bands(h: Column, most: int, bits: int = 64) -> Column:
-    """``most + 1`` keys of contiguous bits with their number: hashes at most ``most`` apart share one of them."""
-    n = most + 1
-    cuts = [bits * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("part")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+def _masks(bits: int, most: int) -> list[int]:
+    """All patterns of at most ``most`` of ``bits`` bits."""
+    return [sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(bits), k)]
+
+
+def hash_probes(h: Column, radius: int, bits: int = 64, bands: int = 4) -> Column:
+    """Keys of each band of contiguous bits, with up to ``radius`` of its bits changed; the band is in the key."""
+    cuts = [bits * i // bands for i in range(bands + 1)]
+
+    def keys(i: int, a: int, b: int) -> Column:
+        part = F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).bitwiseOR(F.lit(i << 48))
+        return F.transform(F.array(*[F.lit(m) for m in _masks(b - a, radius)]).cast("array<bigint>"), lambda m: part.bitwiseXOR(m))
+
+    return F.concat(*[keys(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+
+
+def _near_hashes(left: DataFrame, right: DataFrame, most: int, bands: int = 4) -> DataFrame:
+    """``(lh, rh)``: the pairs of distinct hashes ``left(lh)`` and ``right(rh)`` at most ``most`` apart; exact.
+
+    Of ``bands`` bands, one differs by ``most // bands`` bits at most (pigeonhole). Both sides reach half of that, so
+    they meet at some key between them, and a key has sixteen bits to tell hashes apart, however great ``most`` is.
+    """
+    r = most // bands
+    a = left.select("lh", F.explode(hash_probes(F.col("lh"), r // 2, bands=bands)).alias("k"))
+    b = right.select("rh", F.explode(hash_probes(F.col("rh"), r - r // 2, bands=bands)).alias("k"))
+    return a.join(b, "k").filter(hamming(F.col("lh"), F.col("rh")) <= most).select("lh", "rh").distinct()
 
 
 def hamming_pairs(rows: DataFrame, ident: str, h: str, most: int, where: Column | None = None, extra: list[str] | None = None) -> DataFrame:
-    """``(a, b, distance)``, a < b, of rows whose hashes are at most ``most`` apart; exact, by the pigeonhole
-    principle: of ``most + 1`` bands one is equal."""
+    """``(a, b, distance)``, a < b, of rows whose hashes are at most ``most`` apart, with ``a_x, b_x`` of extra; exact.
+
+    Distinct hashes meet; their rows, and ``extra``, are joined afterwards. ``where`` speaks of ``a_x`` and ``b_x``.
+    """
     extra = extra or []
-    banded = rows.select(F.col(ident).alias("i"), F.col(h).alias("h"), *extra, F.explode(hash_bands(F.col(h), most)).alias("k"))
-    banded = banded.select("i", "h", *extra, "k.band", "k.part")
-    l, r = banded.alias("l"), banded.alias("r")
-    d = hamming(F.col("l.h"), F.col("r.h"))
-    on = (F.col("l.band") == F.col("r.band")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.i") < F.col("r.i")) & (d <= most)
-    met = l.join(r, on if where is None else on & where)
-    keep = [F.col(f"{s}.{c}").alias(f"{p}_{c}") for c in extra for s, p in (("l", "a"), ("r", "b"))]
-    return met.select(F.col("l.i").alias("a"), F.col("r.i").alias("b"), d.alias("distance"), *keep).dropDuplicates(["a", "b"])
+    hashes = rows.filter(F.col(h).isNotNull()).select(F.col(h).alias("lh")).distinct()
+    near = _near_hashes(hashes, hashes.withColumnRenamed("lh", "rh"), most)
+    side = lambda p, k: rows.select(F.col(ident).alias(p), F.col(h).alias(k), *[F.col(c).alias(f"{p}_{c}") for c in extra])
+    met = near.join(side("a", "lh"), "lh").join(side("b", "rh"), "rh").filter("a < b")
+    met = met.filter(where) if where is not None else met
+    return met.select("a", "b", hamming(F.col("lh"), F.col("rh")).alias("distance"), *[f"{p}_{c}" for c in extra for p in ("a", "b")])
 
 
 def near_references(rows: DataFrame, refs: DataFrame, ident: str, h: str, most: int) -> DataFrame:
     """Rows with a reference hash at most ``most`` apart (``ident`` only, once)."""
-    a = rows.select(ident, F.col(h).alias("h"), F.explode(hash_bands(F.col(h), most)).alias("k"))
-    b = refs.select(F.col(h).alias("rh"), F.explode(hash_bands(F.col(h), most)).alias("rk"))
-    return a.join(b, (F.col("k") == F.col("rk")) & (hamming(F.col("h"), F.col("rh")) <= most), "left_semi").select(ident).distinct()
+    hashes = rows.filter(F.col(h).isNotNull()).select(F.col(h).alias("lh")).distinct()
+    near = _near_hashes(hashes, refs.filter(F.col(h).isNotNull()).select(F.col(h).alias("rh")).distinct(), most)
+    return rows.join(near.select(F.col("lh").alias(h)).distinct(), h, "left_semi").select(ident).distinct()
 
 
 def duplicate_decision(min_dist: Column, avg_dist: Column, hist: Column, entropy: Column, threshold: int | Column = 12, hist_threshold: float = 0.90) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.operators.sizes import small_side
+
 
 def alias_index(vocabulary: DataFrame) -> DataFrame:
     """``(alias, cid)``: labels and aliases in lower case, each once."""
@@ -24,7 +26,8 @@ def contained(phrases: DataFrame, index: DataFrame) -> DataFrame:
     at = low.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("low"))))
     at = at.withColumn("kn", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("k", F.substr("low", F.col("i"), F.col("kn")))
     at = at.filter("length(k) = kn")
-    met = at.join(keyed, ["k", "kn"]).filter(F.substr("low", F.col("i"), F.length("alias")) == F.col("alias"))
+    # Keys of few characters are in most phrases, so the positions stay where they are if the index is small.
+    met = at.join(small_side(keyed), ["k", "kn"]).filter(F.substr("low", F.col("i"), F.length("alias")) == F.col("alias"))
     return met.select("phrase", "cid", "alias").distinct()
 
 

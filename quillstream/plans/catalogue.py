@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.plans import pipeline, records, relational, streams, text, timeline, vectors
+from quillstream.plans import gather, pipeline, records, relational, streams, text, timeline, vectors
 
-_MODULES = (timeline, text, pipeline, records, relational, vectors, streams)
+_MODULES = (timeline, text, pipeline, records, relational, vectors, streams, gather)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions.timefns import slide_seconds
 from quillstream.operators.graph import star_components
-from quillstream.operators.matching import best_title
+from quillstream.operators.matching import best_title, nearest_title
 from quillstream.operators.vocabulary import with_share
 from quillstream.session import Scratch
 from quillstream.sources.tables import table
@@ -126,11 +126,8 @@ def fuzzy_best_match(spark, d):
 
 
 def levenshtein_matches(spark, d):
-    """Sections against labels that begin alike, by edit distance."""
-    s = table(spark, d, "html_data").filter("section is not null").select("section").distinct().withColumn("k", F.left("section", F.lit(3)))
-    v = table(spark, d, "vocabulary").select("label", F.left("label", F.lit(3)).alias("k"))
-    j = s.join(v, "k").withColumn("dist", F.levenshtein("section", "label"))
-    return j.groupBy("section").agg(F.min(F.struct("dist", "label")).alias("m")).select("section", "m.label", "m.dist")
+    """Sections and the label nearest by edit distance."""
+    return nearest_title(table(spark, d, "html_data").select("section"), table(spark, d, "vocabulary").select("label"), "section", "label")
 
 
 def size_reduction(spark, d):
@@ -172,9 +169,12 @@ QUERIES = {
         select name, count(*) n, string_agg(src, ',' order by src) sources from u where name is not null group by 1 having count(*) > 1"""),
     "group_flatten_first_image_text": (group_flatten_first_image_text, f"""with i as (select distinct slide_id, video_id, status, {_ST} t from img), k as (select *, floor(t / 300)::bigint b from i where t is not null and coalesce(status, '') <> 'blank'),
         r as (select *, row_number() over (partition by video_id, b order by t, slide_id) rn from k) select slide_id, case when rn = 1 then video_id || '#' || b else '' end as "text" from r"""),
-    "duplicate_components": (duplicate_components, None),
+    "duplicate_components": (duplicate_components, """with recursive l as (select lower(trim(image1)) a, lower(trim(image2)) b from duplicates where is_duplicate and image1 is not null and image2 is not null),
+        e as (select a, b from l where a <> b and a <> '' and b <> '' union select b, a from l where a <> b and a <> '' and b <> ''),
+        r as (select a node, a reach from e union select r.node, e.b from r join e on e.a = r.reach),
+        g as (select node, min(reach) keep from r group by 1) select keep, count(*) - 1 flagged from g group by 1"""),
     "fuzzy_best_match": (fuzzy_best_match, None),
-    "levenshtein_matches": (levenshtein_matches, """with s as (select distinct section from html_data where section is not null), j as (select section, label, levenshtein(section, label)::int dist from s join vocabulary on left(section, 3) = left(label, 3))
+    "levenshtein_matches": (levenshtein_matches, """with s as (select distinct section from html_data where section is not null), j as (select section, label, levenshtein(section, label)::int dist from s, vocabulary)
         select section, arg_min(label, (dist, label)) label, min(dist) dist from j group by 1"""),
     "size_reduction": (size_reduction, "select l_linestatus, round((1 - sum(l_extendedprice * (1 - l_discount)) / sum(l_extendedprice)) * 100, 4) pct from lineitem group by 1"),
     "local_supplier_volume": (local_supplier_volume, """select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) revenue from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey

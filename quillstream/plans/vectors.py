@@ -140,6 +140,8 @@ def tiered_decisions(spark, d):
 
 _Q0 = "q as (select embedding q from embeddings where vec_id = 0)"
 _COS = "list_dot_product({a}::double[], {b}::double[]) / nullif(sqrt(list_dot_product({a}::double[], {a}::double[])) * sqrt(list_dot_product({b}::double[], {b}::double[])), 0)"
+_LESS = "list_transform({v}::double[], lambda x: x - list_avg({v}::double[]))"
+CORR_SQL = "list_dot_product({0}, {1}) / nullif(sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})), 0)".format(_LESS.format(v="{a}"), _LESS.format(v="{b}"))
 _EACH = f"""with q as (select vec_id query_id, embedding q from embeddings where vec_id % 100 = 0), e as (select query_id, vec_id, label, 1 - {_COS.format(a='embedding', b='q')} d from embeddings, q),
     r as (select *, row_number() over (partition by query_id order by d, vec_id)::int as "rank" from e where d is not null{{where}}) select query_id, vec_id, {{label}}round(d, 6) distance, "rank" from r where "rank" <= 8"""
 _DH = "list_sum([case when embedding[i + 2] > embedding[i + 1] then 1::bigint << i else 0::bigint end for i in range(63)])::bigint"

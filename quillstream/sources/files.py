@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstream.operators.sizes import small_side
+
 MEDIA = ["mp4", "mkv", "avi", "mov", "webm", "flv", "wmv", "m4v", "mp3", "wav", "m4a", "aac", "flac", "ogg"]
 
 
@@ -48,7 +50,8 @@ def listing(spark: SparkSession, path: str, extensions: list[str], excluded: lis
 
 
 def decoded(spark: SparkSession, path: str) -> DataFrame:
-    """``(name, text)`` of files of unknown encoding: UTF-8, else UTF-16 by its mark, else Latin-1."""
+    """``(name, text)`` of files of unknown encoding: UTF-8, else UTF-16 by its mark, else Latin-1, which reads any bytes,
+    so that no further encoding would ever be tried."""
     df = spark.read.format("binaryFile").load(path)
     head = F.hex(F.substring("content", 1, 2))
     text = F.when(head.isin("FFFE", "FEFF"), F.decode("content", "UTF-16")).when(F.expr("is_valid_utf8(cast(content as string))"), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
@@ -57,7 +60,7 @@ def decoded(spark: SparkSession, path: str) -> DataFrame:
 
 def first_choice(candidates: DataFrame, preferences: DataFrame, key: str, kind: str, rank: str) -> DataFrame:
     """Of the candidates of a key, the one whose kind ranks first."""
-    return candidates.join(F.broadcast(preferences), kind).groupBy(key).agg(F.min_by(F.struct(*candidates.columns), F.col(rank)).alias("r")).select("r.*")
+    return candidates.join(small_side(preferences), kind).groupBy(key).agg(F.min_by(F.struct(*candidates.columns), F.col(rank)).alias("r")).select("r.*")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -74,9 +77,11 @@ def write_by_status(df: DataFrame, path: str, status: str = "status") -> None:
     df.repartition(status, F.pmod(F.xxhash64(*[c for c in df.columns if c != status]), F.lit(16))).write.mode("overwrite").partitionBy(status).parquet(path)
 
 
-def write_versioned(df: DataFrame, path: str, version: int) -> str:
-    """A new version beside the old ones; returns where it is."""
+def write_versioned(df: DataFrame, path: str, version: int, dry_run: bool = False) -> str:
+    """A new version beside the old ones; returns where it is, or with dry_run only where it would be."""
     at = f"{path}/v{version:06d}"
+    if dry_run:
+        return at
     df.write.mode("errorifexists").parquet(at)
     return at
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions.timefns import clock_to_seconds
 
+# The forms of a stamped line and of a cue's times.
 STAMPED = r"^\[(\d{2}:\d{2}:\d{2})\]\s*(.+)"
 CUE = r"^(\d{2}:\d{2}:\d{2})\.\d{3} --> (\d{2}:\d{2}:\d{2})\.\d{3}"
 
@@ -63,3 +64,25 @@ def key_values(text: Column) -> Column:
     entry = F.transform(pairs, lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
     last = F.filter(entry, lambda e: e["k"] != "")
     return F.map_from_entries(F.array_distinct(F.transform(last, lambda e: F.struct(e["k"].alias("k"), F.element_at(F.filter(last, lambda o: o["k"] == e["k"]), -1)["v"].alias("v")))))
+
+
+def with_image_before(paragraphs: DataFrame, relations: DataFrame, doc: str, order: str, rid: str, text: str) -> DataFrame:
+    """``(doc, order, text, image)`` of the paragraphs with text, each with the last image placed before it.
+
+    relations: ``(doc, rid, media)`` of a document; a paragraph may place an image by its id, and an unknown id places none.
+    """
+    media = relations.select(F.col(doc), F.col(rid), F.col("media").alias("_media")).dropDuplicates([doc, rid])
+    placed = paragraphs.join(media, [doc, rid], "left")
+    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("image", F.last("_media", ignorenulls=True).over(w))
+    return placed.filter(F.coalesce(F.trim(text), F.lit("")) != "").select(doc, order, text, "image")
+
+
+def playlist_entries(listings: DataFrame, ident: str, body: str) -> DataFrame:
+    """``(ident, video, title)`` of the JSON of playlists, without entries that have no id; a listing without entries is
+    one video."""
+    entry = "struct<id:string,title:string>"
+    got = listings.select(F.col(ident), F.from_json(body, f"struct<id:string,title:string,entries:array<{entry}>>").alias("l"))
+    one = F.array(F.struct("l.id", "l.title")).cast(f"array<{entry}>")
+    rows = got.select(ident, F.explode(F.when(F.col("l.entries").isNull(), one).otherwise(F.col("l.entries"))).alias("e")).filter("e.id is not null")
+    return rows.select(ident, F.col("e.id").alias("video"), F.coalesce("e.title", F.lit("Unknown")).alias("title"))
