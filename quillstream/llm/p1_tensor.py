@@ -146,6 +146,11 @@ def similar_classes(classes: DataFrame, threshold: float, tensor: Tensor, scratc
     l, r = shared.alias("l"), shared.alias("r")
     near = l.hint("merge").join(r, F.expr(f"l.key = r.key and l.cid < r.cid and {_alike(tensor, longs, threshold)}"))
     near = near.select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct()
+    # Most pairs that pass the sketch are told by hashes of four bytes a word. Words of equal hash may hide one common
+    # word of a pair, so one more is granted; the words themselves decide.
+    brief = lambda p: classes.select(F.col("cid").alias(p), F.size("words").alias(f"n{p}"), F.transform("words", lambda w: F.hash(w)).alias(f"h{p}"))
+    common = F.size(F.array_intersect("ha", "hb")) + 1
+    near = near.join(brief("a"), "a").join(brief("b"), "b").filter(common >= F.lit(threshold) * (F.col("na") + F.col("nb") - common) - 1e-9).select("a", "b")
     wa = classes.select(F.col("cid").alias("a"), F.col("words").alias("wa"))
     wb = classes.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
     both = near.join(wa, "a").join(wb, "b").withColumn("i", F.size(F.array_intersect("wa", "wb")))
