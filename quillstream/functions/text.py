@@ -48,7 +48,7 @@ def strip_caption(line: Column | str) -> Column:
 def sentences(text: Column | str) -> Column:
     """An array of sentences, each with its closing marks; cut where white space follows them."""
     marked = F.regexp_replace(_c(text), r"([.!?]+)\s+", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def fix_contractions(s: Column | str) -> Column:

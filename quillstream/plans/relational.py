@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillstream.functions.text import byte_size
 from quillstream.functions.timefns import slide_seconds
 from quillstream.operators.graph import star_components
 from quillstream.operators.matching import best_title, nearest_title
@@ -38,9 +39,10 @@ def run_summary(spark, d):
 
 
 def cleanup_totals(spark, d):
-    """Files by status, with their number and bytes."""
-    i = table(spark, d, "img").select("slide_id", "filename", "status").distinct()
-    return i.groupBy(F.coalesce("status", F.lit("none")).alias("status")).agg(F.count("*").alias("files"), F.sum(F.length("filename").cast("bigint")).alias("bytes"))
+    """Transcripts by kind, with their number, their bytes, and these in steps of 1024."""
+    f = table(spark, d, "transcript_files").select("file_id", "source_type", F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("size")).dropDuplicates(["file_id"])
+    t = f.groupBy("source_type").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    return t.withColumn("s", byte_size("bytes")).select("source_type", "files", "bytes", F.col("s.value").alias("size"), F.col("s.unit").alias("unit"))
 
 
 def project_flags(spark, d):
@@ -154,7 +156,8 @@ QUERIES = {
         trunc(quantile_cont(l_quantity::double, 0.95))::int x2, trunc(quantile_cont(l_extendedprice::double, 0.95))::int y2 from lineitem group by 1"""),
     "mean_ratios": (mean_ratios, 'select l_linestatus, round(avg(l_discount), 6) as "left", round(avg(l_tax), 6) top, round(avg(l_quantity), 6) as "right", round(avg(l_extendedprice), 6) bottom from lineitem group by 1'),
     "run_summary": (run_summary, "select count(*) total, count(*) filter (o_orderstatus = 'F') success, count(*) filter (o_orderstatus = 'O') skipped, count(*) filter (o_orderstatus = 'P') failed from orders"),
-    "cleanup_totals": (cleanup_totals, f"with {_I} select coalesce(status, 'none') status, count(*) files, sum(length(filename))::bigint bytes from i group by 1"),
+    "cleanup_totals": (cleanup_totals, """with f as (select distinct on (file_id) file_id, source_type, coalesce(strlen(content), 0) n from transcript_files), t as (select source_type, count(*) files, sum(n)::bigint bytes from f group by 1),
+        s as (select *, case when bytes < 1024 then 0 when bytes < 1048576 then 1 when bytes < 1073741824 then 2 else 3 end k from t) select source_type, files, bytes, round(bytes / pow(1024.0::double, k), 2) size, ['B', 'KB', 'MB', 'GB'][k + 1] unit from s"""),
     "project_flags": (project_flags, """with u as (select video_id, 'images' k from img union all select video_id, 'entries' from html_data union all select video_id, 'transcript' from transcript_files
         union all select regexp_extract(path1, '^videos/([^/]+)/', 1), 'dedup' from duplicates)
         select video_id, bool_or(k = 'images') has_images, bool_or(k = 'entries') has_entries, bool_or(k = 'dedup') has_dedup, bool_or(k = 'transcript') has_transcript from u where video_id is not null and video_id <> '' group by 1"""),

@@ -8,6 +8,7 @@ from quillstream.functions import rules
 from quillstream.functions import text as tx
 from quillstream.functions.timefns import offset_seconds, two_digits
 from quillstream.operators import folds
+from quillstream.plans.timeline import OFFSET_SQL
 from quillstream.sources import transcripts as tr
 from quillstream.sources.tables import table
 
@@ -64,7 +65,7 @@ def transcripts_cleaned(spark, d):
 
 
 def overlaps_trimmed(spark, d):
-    return _files(spark, d).select("file_id", tx.trim_overlaps_udf(F.transform(F.split("content", "\n"), F.trim)).alias("lines"))
+    return _files(spark, d).select("file_id", tx.trim_overlaps_udf(F.transform(F.split("content", "\n"), lambda x: F.trim(x))).alias("lines"))
 
 
 def blocks_by_5min(spark, d):
@@ -90,18 +91,28 @@ def high_value_entries(spark, d):
     return table(spark, d, "html_data").select("entry_id", "text").distinct().filter(tx.has_high_value("text")).select("entry_id")
 
 
-TRIGGERS = [("imbalance", "entry zones"), ("premium", "dealing range"), ("discount", "dealing range"), ("overnight", "session profile"), ("trendline", "entry model"), ("sweep", "liquidity"), ("squeeze", "volatility")]
+# What is looked for in a text, and the search it stands for.
+TRIGGERS = [
+    ("FVG", "fair value gap imbalance entry"), ("CSD", "change in state of delivery CSD entry"), ("MSS", "market structure shift MSS"),
+    ("order block", "order block entry OB"), ("liquidity sweep", "liquidity sweep buy-side sell-side"), ("Judas", "Judas swing fake move London session"),
+    ("Power of Three", "power of three accumulation manipulation distribution"), ("Po3", "power of three accumulation manipulation distribution"),
+    ("MMXM", "market maker buy sell model MMXM"), ("Silver Bullet", "silver bullet entry window"), ("OTE", "optimal trade entry OTE"),
+    ("killzone", "killzone trading session timing"), ("overnight session", "overnight session ONS profile trading"),
+    ("premium", "premium discount dealing range"), ("discount", "premium discount dealing range"), ("PDH", "prior day high low reference level"),
+    ("PDL", "prior day high low reference level"), ("midnight open", "midnight open reference level"), ("7 Rule", "Kish 7 Rules execution framework"),
+    ("trendline", "trendline entry model"), ("breaker", "breaker block entry"), ("turtle soup", "turtle soup liquidity sweep"),
+]
 
 
 def trigger_detection(spark, d):
     """Triggers within texts, case aside, with the search each stands for."""
     t = F.array(*[F.struct(F.lit(a).alias("trigger"), F.lit(b).alias("query")) for a, b in TRIGGERS])
     docs = table(spark, d, "documents").filter("text is not null").withColumn("low", F.lower("text"))
-    return docs.select("doc_id", F.inline(F.filter(t, lambda x: F.contains(F.col("low"), x["trigger"]))))
+    return docs.select("doc_id", F.inline(F.filter(t, lambda x: F.contains(F.col("low"), F.lower(x["trigger"])))))
 
 
 def number_claims(spark, d):
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.regexp_count(F.col("text"), F.lit(r"[0-9]+%|[0-9]{3,5}")).alias("n"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", tx.number_claims("text").alias("n"))
 
 
 def bold_figures(spark, d):
@@ -115,7 +126,8 @@ def url_names(spark, d):
 
 def video_ids(spark, d):
     u = table(spark, d, "img").select("video_id").distinct()
-    made = F.when(F.crc32("video_id") % 3 == 0, F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id", F.lit("&t=3"))).when(F.crc32("video_id") % 3 == 1, F.concat(F.lit("youtu.be/"), "video_id", F.lit("?x=1"))).otherwise(F.concat(F.lit("https://else.example/"), "video_id"))
+    kind = F.ascii(F.right("video_id", F.lit(1))) % 3
+    made = F.when(kind == 0, F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id", F.lit("&t=3"))).when(kind == 1, F.concat(F.lit("youtu.be/"), "video_id", F.lit("?x=1"))).otherwise(F.concat(F.lit("https://else.example/"), "video_id"))
     return u.select("video_id", tx.video_id(made).alias("found"), tx.is_video_url(made).alias("video"))
 
 
@@ -125,7 +137,8 @@ def dates_in_names(spark, d):
 
 def stems_and_pages(spark, d):
     p = table(spark, d, "duplicates").select("path1").filter("path1 is not null").distinct()
-    return p.select("path1", tx.stem("path1").alias("stem"), F.substring_index("path1", "/", -1).alias("name"))
+    paged = tx.paged_image(F.when(F.length("path1") % 2 == 0, F.regexp_replace("path1", r"_([0-9]+)_[^/]*$", "_p$1.png")).otherwise(F.col("path1")))
+    return p.select("path1", tx.stem("path1").alias("stem"), paged.alias("p")).select("path1", "stem", "p.source", "p.page")
 
 
 def byte_sizes(spark, d):
@@ -135,9 +148,10 @@ def byte_sizes(spark, d):
 
 def verbatim_fidelity(spark, d):
     """Share of chunks whose probes are found in their own file, before and after clean up of stamps."""
-    f = _files(spark, d).withColumn("src", tx.verbatim_form("content")).withColumn("seg", F.explode(folds.fixed_chunks(F.col("content"), 4000)))
-    hit = F.exists(tx.probes(tx.verbatim_form("seg")), lambda p: F.contains(F.col("src"), p))
-    return f.groupBy("source_type").agg(F.count("*").alias("segments"), F.round(F.avg(hit.cast("int")), 6).alias("fidelity"))
+    pieces = F.transform(folds.fixed_chunks(F.col("content"), 4000), tx.verbatim_form)
+    f = _files(spark, d).select("source_type", tx.verbatim_form("content").alias("src"), pieces.alias("p"))
+    hits = F.size(F.filter("p", lambda seg: F.exists(tx.probes(seg), lambda x: F.contains(F.col("src"), x))))
+    return f.groupBy("source_type").agg(F.sum(F.size("p")).alias("segments"), F.round(F.sum(hits) / F.sum(F.size("p")), 6).alias("fidelity"))
 
 
 def find_replace_counts(spark, d):
@@ -164,6 +178,7 @@ def triage_pivot(spark, d):
     return page_triage(spark, d).groupBy("source").pivot("dominance", names).agg(F.count(F.lit(1))).select("source", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 
+_NLT = "string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
 _F = "f as (select distinct on (file_id) * from transcript_files where content is not null)"
 _LN = _F + ", ln as (select file_id, unnest(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) raw, generate_subscripts(string_split(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) - 1 line_no from f)"
 _SEC = lambda x: f"(split_part({x}, ':', 1)::int * 3600 + split_part({x}, ':', 2)::int * 60 + split_part({x}, ':', 3)::int)"
@@ -180,15 +195,33 @@ _VTT = r"""v as (select doc_id, replace(replace(text, chr(13) || chr(10), chr(10
 _TRIG = ", ".join(f"('{a}', '{b}')" for a, b in TRIGGERS)
 _H = "h as (select distinct entry_id, text from html_data)"
 
+def _strip_sql(c: str) -> str:
+    out = rf"regexp_replace(regexp_replace(trim({c}, ' '), '^\[[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}\][ \t\n\x0b\f\r]*', ''), '[ \t\n\x0b\f\r]+', ' ', 'g')"
+    for n in tx.NOISE:
+        out = f"replace({out}, '{n}', '')"
+    return f"trim({out}, ' ')"
+
+
+def _contractions_sql(c: str) -> str:
+    for a, b in tx.CONTRACTIONS:
+        c = f"replace({c}, '{a}', '{b}')".replace("n't", "n''t").replace("I'm", "I''m").replace("t's", "t''s")
+    return c
+
+
+_JUNK_SQL = "|".join(f"({p})" for p in tx.JUNK).replace("'", "''")
+
 QUERIES = {
     "transcript_lines": (transcript_lines, f"""with {_ST} select file_id, line_no, {_SEC('ts')} as "seconds", "text" from st"""),
     "transcript_sections": (transcript_sections, rf"""with {_LN}, h as (select *, case when starts_with(raw, '## ') then trim(substr(raw, 4)) end head from ln),
         s as (select *, coalesce(last_value(head ignore nulls) over (partition by file_id order by line_no), 'General') section, regexp_extract(raw, '\[(\d{{2}}:\d{{2}}:\d{{2}})\]', 1) ts from h)
         select file_id, line_no::int line_no, section, {_SEC('ts')} as "seconds", trim(regexp_replace(raw, '\[(\d{{2}}:\d{{2}}:\d{{2}})\]', '', 'g')) as "text" from s where head is null and ts <> ''"""),
     "vtt_cues": (vtt_cues, f"""with {_VTT} select doc_id, {_SEC('start')} as "seconds", arg_max(t, (length(t), -cue)) as "text" from c group by doc_id, start"""),
-    "transcript_line_clean": (transcript_line_clean, None),
-    "sentence_counts": (sentence_counts, None),
-    "repeated_line_dedup": (repeated_line_dedup, None),
+    "transcript_line_clean": (transcript_line_clean, f"""with {_ST}, a as (select file_id, line_no, "text" tx, {_strip_sql('"text"')} s from st), b as (select *, {_contractions_sql('s')} c from a), c as (select *, regexp_replace(c, '^(?i:(Um|Uh|Ah|Like|So|You know),?[ \\t\\n\\x0b\\f\\r]+)', '') g from b)
+        select file_id, line_no, upper(left(g, 1)) || substr(g, 2) as "text", regexp_matches(lower(tx), '{_JUNK_SQL}') junk from c"""),
+    "sentence_counts": (sentence_counts, r"""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]+)[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') a from documents where text is not null)
+        select doc_id, len(a)::int n, coalesce(list_max(list_transform(a, lambda x: length(x))), 0)::int longest from s"""),
+    "repeated_line_dedup": (repeated_line_dedup, f"""with ln as (select doc_id, unnest({_NLT}) raw, generate_subscripts({_NLT}, 1) - 1 line_no from documents where text is not null)
+        select doc_id, min(line_no)::int line_no, md5(lower(trim(raw, ' '))) line from ln where length(trim(raw, ' ')) >= 40 group by doc_id, lower(trim(raw, ' '))"""),
     "fixed_char_chunks": (fixed_char_chunks, f"with {_F}, p as (select file_id, content, unnest(range(0, greatest(0, ceil(length(content) / 4000)::int))) pos from f) select file_id, pos::int pos, md5(substr(content, pos * 4000 + 1, 4000)) h from p"),
     "sampled_sections": (sampled_sections, f"""with {_F} select file_id, md5(case when length(content) > 20000 then left(content, 7000) || chr(10) || '...' || chr(10) || substr(content, length(content) // 2 - 3500 + 1, 7000) || chr(10) || '...' || chr(10) || right(content, 7000) else content end) h from f"""),
     "greedy_line_chunks": (greedy_line_chunks, None),
@@ -196,18 +229,20 @@ QUERIES = {
     "overlaps_trimmed": (overlaps_trimmed, None),
     "blocks_by_5min": (blocks_by_5min, f"""with {_ST}, s as (select *, {_SEC('ts')} // 300 b from st), g as (select file_id, b, string_agg("text", ' ' order by line_no) t, count(*) n from s group by 1, 2),
         x as (select file_id, unnest(range(0, (max(b) + 1)::bigint)) b from g group by 1) select x.file_id, lpad((x.b * 5)::varchar, greatest(2, length((x.b * 5)::varchar))::int, '0') || ':00 - ' || lpad((x.b * 5 + 5)::varchar, greatest(2, length((x.b * 5 + 5)::varchar))::int, '0') || ':00' label, coalesce(n, 0) n, md5(coalesce(t, '')) h from x left join g on g.file_id = x.file_id and g.b = x.b"""),
-    "longest_text_per_stamp": (longest_text_per_stamp, None),
-    "entry_offsets": (entry_offsets, None),
+    "longest_text_per_stamp": (longest_text_per_stamp, f"""with h as (select video_id, entry_id, text, {OFFSET_SQL} s from html_data where video_id is not null and text is not null)
+        select video_id, round(s, 3) s, arg_max(text, (length(text), -entry_id)) as "text" from h where s is not null group by 1, round(s, 3)"""),
+    "entry_offsets": (entry_offsets, f"select distinct entry_id, round({OFFSET_SQL}, 6) s from html_data"),
     "high_value_entries": (high_value_entries, f"with {_H} select entry_id from h where regexp_matches(text, 'basis points|MAE|MFE|0-5 box|line in the sand|reversal|if.*then|fair value gap|order block', 'i')"),
-    "trigger_detection": (trigger_detection, f"select doc_id, t.trigger, t.query from documents join (values {_TRIG}) t(trigger, query) on contains(lower(text), t.trigger)"),
-    "number_claims": (number_claims, "select doc_id, len(regexp_extract_all(text, '[0-9]+%|[0-9]{3,5}'))::int n from documents where text is not null"),
+    "trigger_detection": (trigger_detection, f"select doc_id, t.trigger, t.query from documents join (values {_TRIG}) t(trigger, query) on contains(lower(text), lower(t.trigger))"),
+    "number_claims": (number_claims, r"select doc_id, len(regexp_extract_all(text, '(?i)\b[0-9]{3,5}\b|\b[0-9]+\s*(point|pt|pip|%)\b'))::int n from documents where text is not null"),
     "bold_figures": (bold_figures, rf"""with {_H} select entry_id, regexp_replace(regexp_replace(text, '(\d+(?:\.\d+)?%)', '**\1**', 'g'), '(\b\d{{4}}\.\d{{2}}\b)', '**\1**', 'g') as "text" from h where text is not null"""),
     "url_names": (url_names, r"""select doc_id, left(trim(regexp_replace(lower(regexp_replace(url, '^https?://', '')), '[^a-z0-9]+', '_', 'g'), '_'), 80) slug,
         rtrim(left(trim(regexp_replace(regexp_replace(url, '[<>:"/\\|?*]', '_', 'g'), '\s+', ' ', 'g')), 100), '. ') safe,
         trim(regexp_replace(regexp_replace(regexp_replace(lower(url), '([^.])\.[^.\s]*$', '\1'), '[_\-.]', ' ', 'g'), '\s+', ' ', 'g')) as name, false video from documents where url is not null"""),
-    "video_ids": (video_ids, None),
+    "video_ids": (video_ids, "select distinct video_id, case when ascii(right(video_id, 1)) % 3 < 2 then video_id end found, ascii(right(video_id, 1)) % 3 < 2 video from img"),
     "dates_in_names": (dates_in_names, rf"with {_F} select file_id, try_cast(replace(nullif(regexp_extract(stem, '(\d{{4}})[-_](\d{{2}})[-_](\d{{2}})'), ''), '_', '-') as date)::varchar as \"date\" from f".replace('\\"', '"')),
-    "stems_and_pages": (stems_and_pages, r"select distinct path1, regexp_extract(path1, '([^/]+?)(\.[^./]*)?$', 1) stem, regexp_extract(path1, '([^/]*)$', 1) as name from duplicates where path1 is not null"),
+    "stems_and_pages": (stems_and_pages, r"""with p as (select distinct path1, case when length(path1) % 2 = 0 then regexp_replace(path1, '_([0-9]+)_[^/]*$', '_p\1.png') else path1 end q from duplicates where path1 is not null)
+        select path1, regexp_extract(path1, '([^/]+?)(\.[^./]*)?$', 1) stem, nullif(regexp_extract(q, '([^/]*)_p([0-9]+)\.png$', 1), '') source, try_cast(nullif(regexp_extract(q, '([^/]*)_p([0-9]+)\.png$', 2), '') as int) page from p"""),
     "byte_sizes": (byte_sizes, """with n as (select o_orderkey, o_orderkey * o_orderkey * 17 n from orders), s as (select *, case when n < 1024 then 0 when n < 1048576 then 1 when n < 1073741824 then 2 when n < 1099511627776 then 3 else 4 end k from n)
         select o_orderkey, round(n / pow(1024.0::double, k), 2) as "value", ['B', 'KB', 'MB', 'GB', 'TB'][k + 1] unit from s"""),
     "verbatim_fidelity": (verbatim_fidelity, None),
