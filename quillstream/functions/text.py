@@ -210,81 +210,7 @@ def byte_size(n: Column | str) -> Column:
     return F.struct(F.round(n / F.pow(F.lit(1024.0), step), 2).alias("value"), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), step + 1).alias("unit"))
 
 
-# ---- Python: folds over lines, HTML, longest common subsequence ----
-
-
-def trim_overlaps(lines: list[str], least: int = 10) -> list[str]:
-    """Caption lines without what each repeats of the line before.
-
-    A line within the line before is dropped; a line that holds the one before takes its place; else the longest
-    end of the line before, of at least ``least`` characters, with which the line begins is cut off. The line
-    before is always taken whole.
-    """
-    kept: list[str] = []
-    before = ""
-    for line in lines:
-        if not line or line in before:
-            continue
-        if before in line:
-            del kept[-1:]
-            rest = line
-        else:
-            room = range(min(len(before), len(line)), least - 1, -1)
-            rest = line[next((n for n in room if before.endswith(line[:n])), 0) :].strip()
-            if not rest:
-                continue
-        kept.append(rest)
-        before = line
-    return kept
-
-
-def paragraphs(parts: list[str], most: int = 4, long: int = 200) -> list[str]:
-    """Sentences joined to paragraphs that end after ``most`` sentences or one of over ``long`` characters."""
-    out: list[list[str]] = [[]]
-    for s in parts:
-        out[-1].append(s)
-        if len(out[-1]) >= most or len(s) > long:
-            out.append([])
-    return [" ".join(p) for p in out if p]
-
-
-_JUNK = re.compile("|".join(f"(?:{p})" for p in JUNK))
-_FILLER = re.compile(r"^(?:Um|Uh|Ah|Like|So|You know),?\s+", re.I)
-
-
-def clean_transcript(text: str) -> str:
-    """A caption file as paragraphs: lines stripped and overlaps trimmed, sentences once each and without junk."""
-    lines = []
-    for raw in text.split("\n"):
-        line = re.sub(r"\s+", " ", re.sub(r"^\[\d{2}:\d{2}:\d{2}\]\s*", "", raw.strip()))
-        for n in NOISE:
-            line = line.replace(n, "")
-        lines.append(line.strip())
-    joined = " ".join(trim_overlaps(lines))
-    seen: set[str] = set()
-    out = []
-    for s in re.split(r"(?<=[.!?])\s+", joined):
-        low = s.lower()
-        if len(s) < 3 or low in seen or _JUNK.search(low):
-            continue
-        seen.add(low)
-        for a, b in CONTRACTIONS:
-            s = s.replace(a, b)
-        s = _FILLER.sub("", s)
-        out.append(s[:1].upper() + s[1:])
-    return "\n\n".join(paragraphs(out))
-
-
-@F.pandas_udf(T.StringType())
-def clean_transcript_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield batch.map(lambda t: None if t is None else clean_transcript(t))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def trim_overlaps_udf(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in lines:
-        yield batch.map(lambda x: None if x is None else trim_overlaps(list(x)))
+# ---- Python: HTML, longest common subsequence ----
 
 
 class _Text(HTMLParser):

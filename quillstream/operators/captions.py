@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.functions import text as tx
+
 STAMP = r"\[(\d{1,2}:\d{2}(?::\d{2})?)\]"
 
 
@@ -60,6 +62,45 @@ def paragraphs(sentences: Column, most: int = 4, long: int = 200) -> Column:
     return F.aggregate(sentences, start, step, lambda acc: F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["cur"], " ")))).otherwise(acc["done"]))
 
 
+def trim_overlaps(lines: Column, least: int = 10) -> Column:
+    """Caption lines without what each repeats of the line before it, by one fold over the array.
+
+    Each line is seen against the last one that brought anything, taken whole. What lies within that one is left out; a
+    line around that one takes its place; else the longest end of that one, of at least ``least`` characters, with which
+    the line begins is cut off it. Empty lines are left out.
+    """
+    start = F.struct(F.lit("").alias("whole"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc: Column, line: Column) -> Column:
+        whole, kept = acc["whole"], acc["kept"]
+        around = line.contains(whole)
+        room = F.least(F.length(whole), F.length(line))
+        shared = F.filter(F.when(room >= least, F.sequence(F.lit(least), room)).otherwise(F.array().cast("array<int>")), lambda n: F.right(whole, n) == F.left(line, n))
+        new = F.when(around, line).otherwise(F.trim(F.substr(line, F.coalesce(F.array_max(shared), F.lit(0)) + 1)))
+        brings = ~whole.contains(line) & (new != "")
+        before = F.when(around & (F.size(kept) > 0), F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+        return F.struct(F.when(brings, line).otherwise(whole).alias("whole"), F.when(brings, F.concat(before, F.array(new))).otherwise(kept).alias("kept"))
+
+    return F.aggregate(F.filter(lines, lambda x: F.coalesce(x, F.lit("")) != ""), start, step, lambda acc: acc["kept"])
+
+
+def _first_of_each(items: Column) -> Column:
+    """Texts once each, case aside, the first kept: sorted with their places, compared with their neighbours, sorted back."""
+    placed = F.array_sort(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+    # As the one element of an array the sorted texts are made once.
+    first = F.flatten(F.transform(F.array(placed), lambda a: F.filter(a, lambda e, k: (k == 0) | (F.get(a, k - 1)["low"] != e["low"]))))
+    return F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
+
+
+def clean_transcript(text: Column) -> Column:
+    """A caption file as paragraphs, a blank line between them: lines stripped of stamps and noise, without overlaps;
+    sentences of three characters or more, once each and without junk; contractions, fillers and first letters mended."""
+    lines = trim_overlaps(F.transform(F.split(text, "\n"), lambda x: tx.strip_caption(x)))
+    parts = F.filter(tx.sentences(F.array_join(lines, " ")), lambda s: (F.length(s) >= 3) & ~tx.is_junk(s))
+    mended = F.transform(_first_of_each(parts), lambda s: tx.capitalise(tx.drop_leading_filler(tx.fix_contractions(s))))
+    return F.array_join(paragraphs(mended), "\n\n")
+
+
 def collapsed(chars: Column, segments: Column, long: int = 15000, per: int = 8000) -> Column:
     """Whether a long text came back in too few segments and is to be cut again by size."""
     return (chars > long) & (segments < F.greatest(F.lit(4), F.floor(chars / per)))

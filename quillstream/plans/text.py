@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import rules
 from quillstream.functions import text as tx
 from quillstream.functions.timefns import offset_seconds, two_digits
+from quillstream.operators import captions as cp
 from quillstream.operators import folds
 from quillstream.plans.timeline import OFFSET_SQL
 from quillstream.sources import transcripts as tr
@@ -61,11 +62,11 @@ def greedy_line_chunks(spark, d):
 
 
 def transcripts_cleaned(spark, d):
-    return _files(spark, d).select("file_id", tx.clean_transcript_udf("content").alias("text"))
+    return _files(spark, d).select("file_id", cp.clean_transcript(F.col("content")).alias("text"))
 
 
 def overlaps_trimmed(spark, d):
-    return _files(spark, d).select("file_id", tx.trim_overlaps_udf(F.transform(F.split("content", "\n"), lambda x: F.trim(x))).alias("lines"))
+    return _files(spark, d).select("file_id", cp.trim_overlaps(F.transform(F.split("content", "\n"), lambda x: F.trim(x))).alias("lines"))
 
 
 def blocks_by_5min(spark, d):

@@ -1,10 +1,13 @@
 """Golden cases of the text and time functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as tx
 from quillstream.functions import timefns as tm
+from quillstream.operators import captions as cp
 from quillstream.sources import transcripts as tr
 
 
@@ -13,22 +16,55 @@ def one(spark, col, **values):
     return df.select(col.alias("r")).first()["r"]
 
 
-def test_clean_transcript():
-    assert tx.clean_transcript("hello world") == "Hello world"
-    assert tx.clean_transcript("This is a test sentence\ntest sentence that overlaps") == "This is a test sentence that overlaps"
-    out = tx.clean_transcript("Um, hello.\nCan you hear me?\nThis is real content.")
+def test_clean_transcript(spark):
+    clean = lambda t: one(spark, cp.clean_transcript(F.col("t")), t=t)
+    assert clean("hello world") == "Hello world"
+    assert clean("This is a test sentence\ntest sentence that overlaps") == "This is a test sentence that overlaps"
+    out = clean("Um, hello.\nCan you hear me?\nThis is real content.")
     assert "This is real content" in out and "can you hear me" not in out.lower()
-    assert tx.clean_transcript("") == ""
-
-
-def test_trim_overlaps():
-    assert tx.trim_overlaps(["abc", "abc", "abc def", "x"]) == ["abc def", "x"]
-    assert tx.trim_overlaps([]) == []
-
-
-def test_paragraphs():
-    assert tx.paragraphs(["a", "b", "c", "d", "e"]) == ["a b c d", "e"]
-    assert tx.paragraphs(["x" * 201, "y"]) == ["x" * 201, "y"]
+    assert clean("") == "" and clean(None) is None
+    assert clean("[00:00:01] >> so, i dont know.  I DONT KNOW.\n[00:00:02] so, I dont know. Ok then. No.") == "I don't know. I DONT KNOW. Ok then. No."
+    assert clean("A one. B two. C three. D four. E five.") == "A one. B two. C three. D four.\n\nE five."
+
+
+def overlaps(lines, least=10):
+    """By pairs: what a line brings beyond the last one that brought anything."""
+    kept = []
+    for line in filter(None, lines):
+        whole = kept[-1][0] if kept else ""
+        common = max((n for n in range(least, 1 + min(len(whole), len(line))) if whole[-n:] == line[:n]), default=0)
+        new = line if whole in line else line[common:].strip()
+        if line not in whole and new:
+            kept = kept[: len(kept) - (whole in line)] + [(line, new)]
+    return [new for _, new in kept]
+
+
+def test_trim_overlaps(spark):
+    rng = random.Random(6)
+    words = "the gap fills before the close and the range holds".split()
+    cases = [["abc", "abc", "abc def", "x"], [], ["", "a"], ["one two three", "two three", "zero one two three four"]]
+    for _ in range(60):
+        base = " ".join(rng.choice(words) for _ in range(30))
+        cuts = sorted(rng.randint(0, len(base)) for _ in range(8))
+        cases.append([base[max(0, a - rng.randint(0, 25)) : b + rng.randint(0, 20)] for a, b in zip(cuts, cuts[1:])])
+    got = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, a array<string>").select("i", cp.trim_overlaps(F.col("a")).alias("r")).collect()
+    assert {r["i"]: r["r"] for r in got} == {i: overlaps(c) for i, c in enumerate(cases)}
+    assert overlaps(cases[0]) == ["abc def", "x"]
+
+
+def test_paragraphs(spark):
+    of = lambda a: spark.createDataFrame([(a,)], "a array<string>").select(cp.paragraphs(F.col("a")).alias("r")).first()["r"]
+    assert of(["a", "b", "c", "d", "e"]) == ["a b c d", "e"]
+    assert of(["x" * 201, "y"]) == ["x" * 201, "y"]
+
+
+def test_names_of_files_and_people(spark):
+    assert str(one(spark, tx.date_in_name("n"), n="2023-05-08")) == "2023-05-08"
+    assert str(one(spark, tx.date_in_name("n"), n="05_May_11_2023__Review_")) == "2023-05-11"
+    assert [one(spark, tx.date_in_name("n"), n=n) for n in ("2023-13-08", "05_Foo_11_2023", "none", None)] == [None] * 4
+    assert one(spark, tx.known_as("n", [("voice", "Lead")]), n=" A Voice ") == "Lead" and one(spark, tx.known_as("n", []), n="") == "unknown"
+    assert one(spark, tx.four_part_stamp("n"), n="[00:00:33:04] [00:33:04]") == "[33:04] [00:33:04]"
+    assert one(spark, tx.without_boilerplate("n"), n="Sure, here\n a\n **x**\nb") == " a\nb"
 
 
 @pytest.mark.parametrize("url, yes", [("https://www.youtube.com/watch?v=abc", True), ("https://youtu.be/abc", True), ("https://example.com", False), (None, False)])
