@@ -62,8 +62,14 @@ def grounding_status(spark, d):
 
 
 def quarantined_units(spark, d):
-    """Units held back, with the reason first in order."""
-    u = rc.distinct_units(table(spark, d, "knowledge_units")).withColumn("v", rc.violations())
+    """Units of a bad run, with less confidence and some without summary or type, that are held back, with the reason first
+    in order."""
+    k = F.ascii(F.right("unit_id", F.lit(1)))
+    u = rc.distinct_units(table(spark, d, "knowledge_units"))
+    u = u.withColumn("summary", F.when(k % 7 == 0, "").otherwise(F.col("summary"))).withColumn(
+        "metadata", F.col("metadata").withField("extraction_confidence", F.col("metadata.extraction_confidence") - (k % 5) * 0.25).withField(
+            "knowledge_type", F.when(k % 11 == 0, "riddle").when(k % 13 == 0, "tip").otherwise(F.col("metadata.knowledge_type"))))
+    u = u.withColumn("v", rc.violations())
     low = F.coalesce(F.col("metadata.extraction_confidence"), F.lit(0.0)) < 0.35
     why = F.when(F.size("v") > 0, F.get("v", F.lit(0))).when(low, F.lit("low_confidence"))
     return u.select("unit_id", why.alias("reason")).filter("reason is not null")
@@ -133,6 +139,11 @@ def frame_hashes(spark, d):
     return _frames(spark, d).select("vec_id", im.frame_hashes("px", F.lit(8)).alias("h")).select("vec_id", "h.*")
 
 
+def frame_crops(spark, d):
+    """Content boxes, bars and dark borders of frames."""
+    return _frames(spark, d).select("vec_id", im.frame_crops("px", F.lit(8)).alias("c")).select("vec_id", *[f"c.{f}" for f in ("x1", "y1", "x2", "y2", "bar_top", "bar_bottom")], F.round("c.dark_border", 6).alias("dark_border"))
+
+
 def frames_like_the_first(spark, d):
     f = _frames(spark, d)
     f = f.withColumn("p0", F.lit(f.filter("vec_id = 0").first()["px"]))
@@ -159,11 +170,15 @@ def blank_confirmation(spark, d):
 
 
 def consensus_of_runs(spark, d):
-    """Two runs with a label: agreement, accuracy of what they agree on, and how often a third run is biased."""
-    u = rc.distinct_units(table(spark, d, "knowledge_units")).select("unit_id", F.col("metadata.knowledge_type").alias("a"), F.when(F.crc32("unit_id") % 4 == 0, F.lit("tip")).otherwise(F.col("metadata.knowledge_type")).alias("b"),
-                                                                    F.when(F.crc32("unit_id") % 3 == 0, F.lit("setup")).otherwise(F.col("metadata.knowledge_type")).alias("c"))
+    """Of each source, two runs with a label: how often they disagree, how often what they agree on is right, and how often
+    a third run says setup."""
+    k, kind = F.ascii(F.right("unit_id", F.lit(1))), F.col("metadata.knowledge_type")
+    u = rc.distinct_units(table(spark, d, "knowledge_units")).select(F.col("provenance.source_type").alias("source"), kind.alias("truth"), F.when(k % 5 == 0, F.lit("setup")).otherwise(kind).alias("a"),
+                                                                    F.when(k % 4 == 0, F.lit("tip")).otherwise(kind).alias("b"), F.when(k % 3 == 0, F.lit("setup")).otherwise(kind).alias("c"))
     agreed = rules.consensus([F.col("a"), F.col("b")])
-    return u.agg(F.count("*").alias("n"), F.count(agreed).alias("agreed"), F.count_if(agreed == F.col("a")).alias("right"), F.count_if(F.col("c") == "setup").alias("biased"))
+    pct = lambda x, n: F.round(x * 100.0 / F.greatest(n, F.lit(1)), 4)
+    return u.groupBy("source").agg(F.count("*").alias("n"), pct(F.count("*") - F.count(agreed), F.count("*")).alias("disagreement"),
+                                   pct(F.count_if(agreed == F.col("truth")), F.count(agreed)).alias("accuracy"), pct(F.count_if(F.col("c") == "setup"), F.count("*")).alias("bias"))
 
 
 def distance_limits(spark, d):
@@ -178,6 +193,11 @@ _U = "u as (select distinct on (unit_id) * from knowledge_units where unit_id is
 _EC = f"{_U}, c as (select unit_id, coalesce(len(setup.sequence), 0)::int n_seq, (coalesce(len(setup.text_content.conditions), 0) + coalesce(len(setup.text_content.confluences), 0) + coalesce(len(setup.text_content.notes), 0) + coalesce(len(setup.text_content.other_text), 0))::int n_text from u where setup is not null)"
 _CK = lambda s: f"printf('%02d:%02d:%02d', {s} // 3600, {s} // 60 % 60, {s} % 60)"
 
+_PX = """e as (select vec_id, unnest(embedding)::float x, generate_subscripts(embedding, 1) - 1 i from embeddings),
+        px as (select vec_id, i // 8 r, i % 8 c, trunc(greatest(0::float, least(255::float, (x + 0.5::float) * 255::float)))::int g from e)"""
+# A number of 64 bits, the first one the least, as a signed one.
+_SIGNED = "(sum(case when {c} then 1::hugeint << ({i})::int else 0::hugeint end) - case when bool_or({c} and {i} = 63) then 1::hugeint << 64 else 0 end)::bigint"
+
 QUERIES = {
     "slides_with_block_text": (slides_with_block_text, f"""with s0 as (select distinct slide_id, video_id, {SLIDE_SQL} t from img), s as (select *, lead(t) over (partition by video_id order by t, slide_id) nx from s0 where t is not null),
         b as (select distinct entry_id, video_id, {OFFSET_SQL} t, text from html_data where text is not null),
@@ -189,7 +209,11 @@ QUERIES = {
         select stem || '__01_' || printf('%02d', o) || '_' || left(sha1(stem || ':1:' || o), 10) unit_id, left(t, 160) summary, {_CK('a')} || ' - ' || {_CK('z')} timestamp_range from o where length(trim(t)) >= 40"""),
     "element_counts": (element_counts, f"with {_EC} select unit_id, n_seq, n_text from c"),
     "grounding_status": (grounding_status, f"with {_EC} select case when n_seq > 0 and n_text = 0 then 'fabricated' when n_seq > n_text then 'over' when n_seq < n_text then 'under' else 'right' end status, count(*) n from c group by 1"),
-    "quarantined_units": (quarantined_units, None),
+    "quarantined_units": (quarantined_units, f"""with {_U}, k as (select unit_id, ascii(right(unit_id, 1)) k, case when ascii(right(unit_id, 1)) % 7 = 0 then '' else summary end s, metadata.extraction_confidence - (ascii(right(unit_id, 1)) % 5) * 0.25::double c,
+        case when ascii(right(unit_id, 1)) % 11 = 0 then 'riddle' when ascii(right(unit_id, 1)) % 13 = 0 then 'tip' else metadata.knowledge_type end t,
+        list_filter([case when setup is not null then 'setup' end, case when contextual is not null then 'contextual' end, case when framework is not null then 'framework' end, case when tip is not null then 'tip' end, case when psychology is not null then 'psychology' end, case when anecdote is not null then 'anecdote' end], lambda x: x is not null) p from u),
+        r as (select unit_id, case when len(p) <> 1 then 'payload_count' when p[1] is distinct from t then 'payload_type' when c < 0 or c > 1 then 'confidence_bounds' when coalesce(s, '') = '' then 'summary_missing'
+          when coalesce(t not in ('setup', 'contextual', 'framework', 'tip', 'psychology', 'anecdote'), true) then 'unknown_type' when coalesce(c, 0) < 0.35 then 'low_confidence' end reason from k) select * from r where reason is not null"""),
     "payload_fields": (payload_fields, f"""with {_U} select unit_id, coalesce(setup.name, framework.method_name, tip.heuristic, psychology.principle) as "label",
         case when setup is not null then setup.name when contextual is not null then contextual.event_or_condition when framework is not null then framework.method_name when tip is not null then tip.heuristic when psychology is not null then psychology.principle when anecdote is not null then anecdote.embedded_heuristic end as "lead" from u"""),
     "line_groups": (line_groups, f"""with {_LN}, n as (select file_id, count(*) n from ln group by 1), p as (select file_id, line_no, raw, floor(line_no / greatest(1, n // 6))::int part from ln join n using (file_id))
@@ -197,7 +221,8 @@ QUERIES = {
     "overlapping_chunks": (overlapping_chunks, None),
     "paragraphs_of_4": (paragraphs_of_4, None),
     "collapse_guard": (collapse_guard, f"with {_F} select file_id, length(content) > 15000 and (length(content) - length(replace(content, chr(10), ''))) / 100 < greatest(4, floor(length(content) / 8000)) collapsed from f"),
-    "output_completeness": (output_completeness, None),
+    "output_completeness": (output_completeness, """with t as (select user_id, string_agg(props, chr(10) order by event_id) t from events group by 1), c as (select user_id, case when user_id % 3 = 0 then left(t, length(t) - 2) else t end t from t)
+        select user_id, strlen(t) >= 50 and json_valid(string_split(t, chr(10))[-1]) complete, strlen(t) >= 200 and not contains(left(t, 200), 'ERROR') notes from c"""),
     "batched_classification": (batched_classification, None),
     "embedded_summaries": (embedded_summaries, None),
     "legacy_slide_times": (legacy_slide_times, r"""with i as (select distinct slide_id, regexp_extract(filename, '_([0-9.]+)\.png', 1) r from img), v as (select *, try_cast(nullif(r, '') as double) v from i)
@@ -209,9 +234,22 @@ QUERIES = {
     "blank_confirmation": (blank_confirmation, """with o as (select o_orderkey, (o_orderkey % 100)::double score, case when o_custkey % 3 > 0 then o_custkey % 5 end blocks, case when o_custkey % 3 > 0 then o_custkey % 4 end lines from orders),
         c as (select *, score < 25 cand, blocks is null and score > 5 unread, coalesce(blocks >= 3, false) or coalesce(lines > 1, false) saved from o)
         select o_orderkey, cand and not unread and not saved is_blank, case when cand and not unread and saved then greatest(score, 50) else score end content_score from c"""),
-    "consensus_of_runs": (consensus_of_runs, None),
+    "consensus_of_runs": (consensus_of_runs, f"""with {_U}, k as (select provenance.source_type source, metadata.knowledge_type t, ascii(right(unit_id, 1)) k from u),
+        r as (select *, case when k % 5 = 0 then 'setup' else t end a, case when k % 4 = 0 then 'tip' else t end b, case when k % 3 = 0 then 'setup' else t end c from k)
+        select source, count(*) n, round(count(*) filter (a <> b) * 100.0 / count(*), 4)::double disagreement, round(count(*) filter (a = b and a = t) * 100.0 / greatest(count(*) filter (a = b), 1), 4)::double accuracy,
+        round(count(*) filter (c = 'setup') * 100.0 / count(*), 4)::double bias from r group by 1"""),
     "distance_limits": (distance_limits, "select event_id, greatest(2, trunc((1 - event_id % 101 / 100.0::double) * 60)::int)::int as \"limit\" from events"),
-    "frame_metrics": (frame_metrics, None),
-    "frame_hashes": (frame_hashes, None),
+    "frame_metrics": (frame_metrics, f"""with {_PX}, m as (select vec_id, var_pop(g) v, stddev_pop(g) s, avg(g) a, min(g) lo, max(g) hi from px group by 1), c as (select vec_id, var_pop(g) v, stddev_pop(g) s, avg(g) a from px where r < 7 and c < 7 group by 1),
+        h0 as (select vec_id, g, count(*) / 64.0::double p from px group by 1, 2), h as (select vec_id, -sum(p * log2(p)) e, max(p) * 100 d from h0 group by 1),
+        b as (select px.vec_id, count(distinct case when hi = lo then 0 else least(31, (g - lo) * 32 // (hi - lo)) end) / 32.0::double u from px join m using (vec_id) group by 1)
+        select m.vec_id, round(m.v, 4) variance, round(c.v, 4) variance_center, round(m.s, 4) std_dev, round(c.s, 4) std_dev_center, round(m.a, 4) mean_brightness, round(c.a, 4) mean_brightness_center, round(e, 4) entropy,
+        round(u, 4) color_diversity, round(d, 4) dominant_intensity_percentage from m join c using (vec_id) join h using (vec_id) join b using (vec_id)"""),
+    "frame_hashes": (frame_hashes, f"""with {_PX}, w as (select vec_id, r, c, g, avg(g) over v mean, quantile_cont(g, 0.5) over v med, lag(g) over (partition by vec_id, r order by c) before from px window v as (partition by vec_id)),
+        f as (select k, y, sum(cos(pi() * k * (2 * (4 * y + j) + 1) / 64)) b from range(8) x(k), range(8) y(y), range(4) z(j) group by 1, 2),
+        l as (select vec_id, a.k * 8 + b.k i, sum(g * a.b * b.b) v from px join f a on a.y = r join f b on b.y = c group by 1, 2), q as (select vec_id, quantile_cont(v, 0.5) filter (i > 0) med from l group by 1),
+        p as (select vec_id, {_SIGNED.format(c="v > med", i="i")} phash from l join q using (vec_id) group by 1),
+        o as (select vec_id, {_SIGNED.format(c="g > before", i="r * 8 + c")} dhash, {_SIGNED.format(c="g > mean", i="r * 8 + c")} ahash, {_SIGNED.format(c="g > med", i="r * 8 + c")} whash from w group by 1)
+        select vec_id, phash, dhash, ahash, whash from p join o using (vec_id)"""),
+    "frame_crops": (frame_crops, None),
     "frames_like_the_first": (frames_like_the_first, None),
 }

@@ -193,6 +193,7 @@ _VTT = r"""v as (select doc_id, replace(replace(text, chr(13) || chr(10), chr(10
   b as (select doc_id, cue, start, line_no, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(raw, '<\d{2}:\d{2}:\d{2}\.\d{3}>|</?c[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\x0b\f\r]+', ' ', 'g')) t
     from w where start is not null and stamp is null and not regexp_matches(raw, '^\s*$|^(WEBVTT|Kind:|Language:|NOTE)|align:|position:|^\d+$')),
   c as (select doc_id, cue, start, string_agg(t, ' ' order by line_no) t from b where t <> '' group by 1, 2, 3)"""
+_VERB = lambda c: rf"trim(lower(regexp_replace(regexp_replace({c}, '\[[^\]]*\]', ' ', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g')), ' ')"
 _TRIG = ", ".join(f"('{a}', '{b}')" for a, b in TRIGGERS)
 _H = "h as (select distinct entry_id, text from html_data)"
 
@@ -246,7 +247,9 @@ QUERIES = {
         select path1, regexp_extract(path1, '([^/]+?)(\.[^./]*)?$', 1) stem, nullif(regexp_extract(q, '([^/]*)_p([0-9]+)\.png$', 1), '') source, try_cast(nullif(regexp_extract(q, '([^/]*)_p([0-9]+)\.png$', 2), '') as int) page from p"""),
     "byte_sizes": (byte_sizes, """with n as (select o_orderkey, o_orderkey * o_orderkey * 17 n from orders), s as (select *, case when n < 1024 then 0 when n < 1048576 then 1 when n < 1073741824 then 2 when n < 1099511627776 then 3 else 4 end k from n)
         select o_orderkey, round(n / pow(1024.0::double, k), 2) as "value", ['B', 'KB', 'MB', 'GB', 'TB'][k + 1] unit from s"""),
-    "verbatim_fidelity": (verbatim_fidelity, None),
+    "verbatim_fidelity": (verbatim_fidelity, rf"""with {_F}, p as (select file_id, source_type, content, unnest(range(0, greatest(0, ceil(length(content) / 4000)::int))) pos from f), s as (select file_id, source_type, {_VERB('content')} src, {_VERB('substr(content, pos * 4000 + 1, 4000)')} seg from p),
+        h as (select source_type, case when length(seg) > 90 then contains(src, substr(seg, 11, 40)) or contains(src, substr(seg, length(seg) // 2 + 1, 40)) or contains(src, substr(seg, length(seg) - 49, 40)) else contains(src, seg) end hit from s)
+        select source_type, count(*) segments, round(count(*) filter (hit) / count(*), 6) fidelity from h group by 1"""),
     "find_replace_counts": (find_replace_counts, f"with {_H} select count(*) filter (contains(text, 'the')) exact, count(*) filter (regexp_replace(text, 'the', 'THE', 'gi') <> text) any_case from h"),
     "page_triage": (page_triage, f"with {_TRI} select doc_id, source, dominance from t"),
     "triage_rollup": (triage_rollup, f"with {_TRI} select coalesce(source, 'TOTAL') source, coalesce(dominance, 'ALL') dominance, count(*) n, grouping(source, dominance)::int as \"level\" from t group by rollup (source, dominance)".replace('\\"', '"')),
