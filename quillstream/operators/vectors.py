@@ -39,12 +39,19 @@ def topk(rows: DataFrame, vector: str, query: list[float], k: int = 8, where: li
     return kept.withColumn("distance", 1.0 - cosine(F.col(vector), q)).filter("distance is not null").orderBy("distance", tie).limit(k)
 
 
-def topk_each(rows: DataFrame, vector: str, queries: DataFrame, k: int = 8, where: list[Column] | None = None, tie: str = "vec_id") -> DataFrame:
+def beside(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row beside every query ``(query_id, query)``: the stated queries against all rows, in the partitions of the
+    rows if the queries are few, else in blocks of both."""
+    return rows.crossJoin(small_side(queries))
+
+
+def topk_each(rows: DataFrame, vector: str, queries: DataFrame, k: int = 8, where: list[Column] | None = None, tie: str = "vec_id", within: str | None = None) -> DataFrame:
     """Of each query ``(query_id, query)``, the ``k`` rows of least cosine distance among those that pass every
-    predicate, as ``distance`` and ``rank``. The limit on the rank cuts each block's rows before the shuffle."""
+    predicate, as ``distance`` and ``rank``; within: of each value of that column. The limit on the rank cuts each block's
+    rows before the shuffle."""
     kept = reduce(lambda df, p: df.filter(p), where or [], rows)
-    scored = kept.crossJoin(small_side(queries)).withColumn("distance", 1.0 - cosine(F.col(vector), F.col("query"))).filter("distance is not null")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", tie))
+    scored = beside(kept, queries).withColumn("distance", 1.0 - cosine(F.col(vector), F.col("query"))).filter("distance is not null")
+    rank = F.row_number().over(Window.partitionBy("query_id", *([within] if within else [])).orderBy("distance", tie))
     return scored.drop("query").withColumn("rank", rank).filter(F.col("rank") <= k)
 
 

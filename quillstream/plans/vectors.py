@@ -13,45 +13,28 @@ from quillstream.sources.tables import table
 DIMS = 64
 
 
-def _query(spark, d) -> list[float]:
-    return [float(x) for x in table(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first()[0]]
-
-
 def _hashed(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label", "embedding", vx.dhash(F.col("embedding"), DIMS).alias("h"))
 
 
-def cosine_topk(spark, d):
-    return vx.topk(table(spark, d, "embeddings"), "embedding", _query(spark, d), 8).select("vec_id", F.round("distance", 6).alias("distance"))
-
-
-def prefiltered_cosine_topk(spark, d):
-    where = [F.col("label").isin(1, 3, 5), F.col("vec_id") % 2 == 1]
-    return vx.topk(table(spark, d, "embeddings"), "embedding", _query(spark, d), 8, where).select("vec_id", "label", F.round("distance", 6).alias("distance"))
-
-
 def _queries(spark, d):
     """Every row whose id is divisible by 100."""
     return table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-def cosine_topk_each(spark, d):
+def cosine_topk(spark, d):
+    """Of each query, the eight nearest rows."""
     return vx.topk_each(table(spark, d, "embeddings"), "embedding", _queries(spark, d), 8).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-def prefiltered_cosine_topk_each(spark, d):
+def prefiltered_cosine_topk(spark, d):
     where = [F.col("label").isin(1, 3, 5), F.col("vec_id") % 2 == 1]
     return vx.topk_each(table(spark, d, "embeddings"), "embedding", _queries(spark, d), 8, where).select("query_id", "vec_id", "label", F.round("distance", 6).alias("distance"), "rank")
 
 
 def topk_per_trigger_union(spark, d):
-    """The top 3 of every label's own ranking, united."""
-    from pyspark.sql import Window
-
-    q = F.array(*map(F.lit, _query(spark, d)))
-    e = table(spark, d, "embeddings").withColumn("distance", F.round(1.0 - vx.cosine(F.col("embedding"), q), 6))
-    e = e.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("distance", "vec_id"))).filter("rank <= 3")
-    return e.select("label", "vec_id", "distance", F.col("rank").cast("int").alias("rank"))
+    """Of each query, the top 3 of every label's own ranking, united."""
+    return vx.topk_each(table(spark, d, "embeddings"), "embedding", _queries(spark, d), 3, within="label").select("query_id", "label", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
 def dhash_values(spark, d):
@@ -69,11 +52,15 @@ def ignore_list_anti_join(spark, d):
     return rows.filter("vec_id >= 20").select("vec_id").join(hit, "vec_id", "left_anti")
 
 
+def _against_all(spark, d):
+    """Every other row beside each query."""
+    return vx.beside(_hashed(spark, d), _queries(spark, d)).filter("vec_id <> query_id")
+
+
 def one_against_all(spark, d):
-    q = F.array(*map(F.lit, _query(spark, d)))
-    h0 = vx.dhash(q, DIMS)
-    e = _hashed(spark, d).filter("vec_id <> 0")
-    return e.select("vec_id", F.round(vx.cosine(F.col("embedding"), q), 6).alias("cos"), vx.hamming(F.col("h"), h0).cast("int").alias("distance"))
+    """Each query against all other rows, by vectors and by hashes."""
+    e = _against_all(spark, d)
+    return e.select("query_id", "vec_id", F.round(vx.cosine(F.col("embedding"), F.col("query")), 6).alias("cos"), vx.hamming(F.col("h"), vx.dhash(F.col("query"), DIMS)).cast("int").alias("distance"))
 
 
 def connected_duplicate_groups(spark, d):
@@ -86,18 +73,14 @@ def connected_duplicate_groups(spark, d):
 
 
 def histogram_correlation(spark, d):
-    """Pearson correlation of each vector with the first, over its exploded elements."""
-    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    first = spark.createDataFrame(list(enumerate(_query(spark, d))), "i int, y double")
-    return e.join(F.broadcast(first), "i").groupBy("vec_id").agg(F.round(F.corr(F.col("x").cast("double"), "y"), 6).alias("corr"))
+    """Pearson correlation of each query with all other rows."""
+    return _against_all(spark, d).select("query_id", "vec_id", F.round(vx.correlation(F.col("embedding"), F.col("query")), 6).alias("corr"))
 
 
 def cell_match_ratio(spark, d):
-    """Share of grid cells (elements) in which a vector is near the first one."""
-    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    first = spark.createDataFrame(list(enumerate(_query(spark, d))), "i int, y double")
-    near = (F.abs(F.col("x").cast("double") - F.col("y")) < 0.05).cast("int")
-    return e.join(F.broadcast(first), "i").groupBy("vec_id").agg(F.round(F.avg(near), 6).alias("ratio"))
+    """Share of grid cells (elements) in which a row is near a query."""
+    near = F.zip_with("embedding", "query", lambda x, y: F.abs(x.cast("double") - y.cast("double")) < 0.05)
+    return _against_all(spark, d).select("query_id", "vec_id", F.round(F.size(F.filter(near, lambda x: x)) / DIMS, 6).alias("ratio"))
 
 
 def vector_metrics(spark, d):
@@ -138,34 +121,30 @@ def tiered_decisions(spark, d):
     return p.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.round(F.avg("histogram_similarity"), 6).alias("avg_hist"))
 
 
-_Q0 = "q as (select embedding q from embeddings where vec_id = 0)"
 _COS = "list_dot_product({a}::double[], {b}::double[]) / nullif(sqrt(list_dot_product({a}::double[], {a}::double[])) * sqrt(list_dot_product({b}::double[], {b}::double[])), 0)"
 _LESS = "list_transform({v}::double[], lambda x: x - list_avg({v}::double[]))"
 CORR_SQL = "list_dot_product({0}, {1}) / nullif(sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})), 0)".format(_LESS.format(v="{a}"), _LESS.format(v="{b}"))
-_EACH = f"""with q as (select vec_id query_id, embedding q from embeddings where vec_id % 100 = 0), e as (select query_id, vec_id, label, 1 - {_COS.format(a='embedding', b='q')} d from embeddings, q),
-    r as (select *, row_number() over (partition by query_id order by d, vec_id)::int as "rank" from e where d is not null{{where}}) select query_id, vec_id, {{label}}round(d, 6) distance, "rank" from r where "rank" <= 8"""
+_Q = "q as (select vec_id query_id, embedding q from embeddings where vec_id % 100 = 0)"
+_EACH = f"""with {_Q}, e as (select query_id, vec_id, label, 1 - {_COS.format(a='embedding', b='q')} d from embeddings, q),
+    r as (select *, row_number() over (partition by query_id{{within}} order by d, vec_id)::int as "rank" from e where d is not null{{where}}) select query_id, vec_id, {{label}}round(d, 6) distance, "rank" from r where "rank" <= {{k}}"""
 _DH = "list_sum([case when embedding[i + 2] > embedding[i + 1] then 1::bigint << i else 0::bigint end for i in range(63)])::bigint"
 _HE = f"he as (select *, {_DH} h from embeddings)"
 _CMP = """select *, list_min(map_values(distances)) mn, list_sum(map_values(distances))::double / len(map_values(distances)) av from duplicates where image1 is not null and image2 is not null"""
 
 QUERIES = {
-    "cosine_topk": (cosine_topk, f"with {_Q0} select vec_id, round(1 - {_COS.format(a='embedding', b='q')}, 6) distance from embeddings, q order by 1 - {_COS.format(a='embedding', b='q')}, vec_id limit 8"),
-    "prefiltered_cosine_topk": (prefiltered_cosine_topk, f"with {_Q0} select vec_id, label, round(1 - {_COS.format(a='embedding', b='q')}, 6) distance from embeddings, q where label in (1, 3, 5) and vec_id % 2 = 1 order by 1 - {_COS.format(a='embedding', b='q')}, vec_id limit 8"),
-    "cosine_topk_each": (cosine_topk_each, _EACH.format(where="", label="")),
-    "prefiltered_cosine_topk_each": (prefiltered_cosine_topk_each, _EACH.format(where=" and label in (1, 3, 5) and vec_id % 2 = 1", label="label, ")),
-    "topk_per_trigger_union": (topk_per_trigger_union, f"""with {_Q0}, e as (select label, vec_id, round(1 - {_COS.format(a='embedding', b='q')}, 6) distance from embeddings, q),
-        r as (select *, row_number() over (partition by label order by distance, vec_id)::int as "rank" from e) select * from r where "rank" <= 3"""),
+    "cosine_topk": (cosine_topk, _EACH.format(where="", label="", within="", k=8)),
+    "prefiltered_cosine_topk": (prefiltered_cosine_topk, _EACH.format(where=" and label in (1, 3, 5) and vec_id % 2 = 1", label="label, ", within="", k=8)),
+    "topk_per_trigger_union": (topk_per_trigger_union, _EACH.format(where="", label="label, ", within=", label", k=3)),
     "dhash_values": (dhash_values, f"with {_HE} select vec_id, h from he"),
     "dhash_hamming_pairs": (dhash_hamming_pairs, f"with {_HE} select a.vec_id a, b.vec_id b, bit_count(xor(a.h, b.h))::int distance, round(1 - bit_count(xor(a.h, b.h)) / 64, 6) similarity from he a join he b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) <= 14"),
     "ignore_list_anti_join": (ignore_list_anti_join, f"with {_HE} select vec_id from he a where vec_id >= 20 and not exists (select 1 from he b where b.vec_id < 20 and bit_count(xor(a.h, b.h)) <= 15)"),
-    "one_against_all": (one_against_all, f"with {_HE}, z as (select embedding q, h hq from he where vec_id = 0) select vec_id, round({_COS.format(a='embedding', b='q')}, 6) cos, bit_count(xor(h, hq))::int distance from he, z where vec_id <> 0"),
+    "one_against_all": (one_against_all, f"with {_HE}, z as (select vec_id query_id, embedding q, h hq from he where vec_id % 100 = 0) select query_id, vec_id, round({_COS.format(a='embedding', b='q')}, 6) cos, bit_count(xor(h, hq))::int distance from he, z where vec_id <> query_id"),
     "connected_duplicate_groups": (connected_duplicate_groups, f"""with recursive {_HE}, e as (select a.vec_id u, b.vec_id v from he a join he b on a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) <= 14 where {_COS.format(a='a.embedding', b='b.embedding')} > 0.3),
         s as (select u, v from e union select v, u from e), r as (select u node, u reach from s union select r.node, s.v from r join s on s.u = r.reach),
         l as (select node, min(reach) as "primary" from r group by 1) select "primary", count(*) n, string_agg(node::varchar, ',' order by node) members from l group by 1"""),
-    "histogram_correlation": (histogram_correlation, """with e as (select vec_id, unnest(embedding)::double x, generate_subscripts(embedding, 1) i from embeddings), f as (select i, x y from e where vec_id = 0)
-        select vec_id, round(corr(x, y), 6) corr from e join f using (i) group by 1"""),
-    "cell_match_ratio": (cell_match_ratio, """with e as (select vec_id, unnest(embedding)::double x, generate_subscripts(embedding, 1) i from embeddings), f as (select i, x y from e where vec_id = 0)
-        select vec_id, round(avg((abs(x - y) < 0.05)::int), 6) ratio from e join f using (i) group by 1"""),
+    "histogram_correlation": (histogram_correlation, f"with {_Q} select query_id, vec_id, round({CORR_SQL.format(a='embedding', b='q')}, 6) corr from embeddings, q where vec_id <> query_id"),
+    "cell_match_ratio": (cell_match_ratio, f"""with {_Q}, e as (select query_id, vec_id, unnest(embedding)::double x, unnest(q)::double y from embeddings, q where vec_id <> query_id)
+        select query_id, vec_id, round(avg((abs(x - y) < 0.05)::int), 6) ratio from e group by 1, 2"""),
     "vector_metrics": (vector_metrics, """with e as (select vec_id, unnest(embedding)::double x from embeddings), b as (select vec_id, floor(x * 16) bin, count(*) / 64.0::double p from e group by 1, 2),
         n as (select vec_id, round(-sum(p * log2(p)), 6) entropy, count(*) bins, round(max(p) * 100, 6) dominant_pct from b group by 1),
         m as (select vec_id, round(var_pop(x), 6) variance, round(stddev_pop(x), 6) std_dev, round(avg(x), 6) mean from e group by 1) select * from m join n using (vec_id)"""),
