@@ -64,12 +64,27 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_roots: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of all queries so far, for a caller that has taken their results."""
+    while _roots:
+        _delete(spark, _roots.pop())
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables written below :func:`shared_dir`; they cut lineage and survive the loss of any executor."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _roots.append(self.root)
         self._n = 0
 
     def path(self, name: str = "t") -> str:
@@ -91,9 +106,4 @@ class Scratch:
 
     def delete(self, at: str) -> None:
         """Delete a path below the folder."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def clear(self) -> None:
-        self.delete(self.root)
+        _delete(self.spark, at)

@@ -46,3 +46,28 @@ def test_first_choice(spark):
     c = spark.createDataFrame([("a", "auto", 1), ("a", "manual", 2), ("b", "auto", 3)], "k string, kind string, n int")
     p = spark.createDataFrame([("manual", 0), ("auto", 1)], "kind string, rank int")
     assert sorted((r["k"], r["n"]) for r in files.first_choice(c, p, "k", "kind", "rank").collect()) == [("a", 2), ("b", 3)]
+
+
+def test_versions_and_dry_runs(spark, tmp_path):
+    df = spark.range(3)
+    at = files.write_versioned(df, str(tmp_path / "t"), 1, dry_run=True)
+    assert at.endswith("v000001") and not (tmp_path / "t").exists()
+    assert files.write_versioned(df, str(tmp_path / "t"), 1) == at and spark.read.parquet(at).count() == 3
+
+
+def test_first_choice(spark):
+    have = spark.createDataFrame([("v", "any", "x"), ("v", "manual", "y"), ("w", "other", "z")], "video string, kind string, file string")
+    want = spark.createDataFrame([("manual", 1), ("any", 2)], "kind string, rank int")
+    assert [(r["video"], r["file"]) for r in files.first_choice(have, want, "video", "kind", "rank").collect()] == [("v", "y")]
+
+
+def test_scratch_is_cleared(spark):
+    from pathlib import Path
+
+    from quillstream import session
+
+    scratch = session.Scratch(spark, "t")
+    at = Path(scratch.cut(spark.range(2))._scratch_path.removeprefix("file:").replace("//", "/"))
+    assert at.exists()
+    session.clear_scratch(spark)
+    assert not at.exists() and not at.parent.exists()

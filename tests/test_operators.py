@@ -105,7 +105,7 @@ def test_images():
     x1, y1, x2, y2 = im.content_box(box)
     assert 28 <= x1 <= 31 and 18 <= y1 <= 21 and 59 <= x2 <= 62 and 39 <= y2 <= 42
     assert im.dark_border(box) == 1.0 and im.crop(100, 50, -1, 0, 2, 0.5) == (0, 0, 100, 25)
-    assert im.grid_similarity(a, a) == 1.0 and im.bar_heights(np.zeros((100, 10, 3), np.uint8)) == (15, 15)
+    assert im.grid_similarity(a, a) == 1.0 and im.bar_heights(np.zeros((100, 10, 3), np.uint8)) == (15, 14)
 
 
 def test_stages(spark):
@@ -140,12 +140,91 @@ def test_incremental_stream_takes_each_file_once(spark, tmp_path):
 
 
 def test_upsert_keeps_the_last(spark, tmp_path):
-    from quillstream.streaming.events import upsert
-
-    put = upsert(str(tmp_path / "t"), "k", "n")
-    put(spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, n int, v string"), 0)
-    put(spark.createDataFrame([("a", 2, "z"), ("b", 0, "old")], "k string, n int, v string"), 1)
-    assert rows(spark.read.parquet(str(tmp_path / "t/v000001"))) == [("a", 2, "z"), ("b", 1, "y")]
+    from quillstream.streaming.events import compact, upsert, upserted
+
+    at, kind = str(tmp_path / "t"), "k string, n int, v string"
+    put = upsert(at, "k", "n")
+    put(spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("a", 0, "w")], kind), 0)
+    for _ in range(2):
+        put(spark.createDataFrame([("a", 2, "z"), ("b", 0, "old")], kind), 1)
+    assert rows(upserted(spark, at, "k", "n")) == [("a", 2, "z"), ("b", 1, "y")]
+    compact(spark, at, "k", "n", 1)
+    put(spark.createDataFrame([("b", 3, "new")], kind), 2)
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v000001", "v000002"]
+    assert rows(upserted(spark, at, "k", "n")) == [("a", 2, "z"), ("b", 3, "new")]
+
+
+def test_joins_along_time_cross_stretches(spark, monkeypatch):
+    """Slides and lines over many stretches, some of them empty, equal what one sort of each document gives."""
+    import random
+
+    from quillstream.operators import timeline as tl
+
+    monkeypatch.setattr(tl, "STRETCH", 10.0)
+    rng = random.Random(11)
+    slides = [(k, round(rng.uniform(0, 400), 1), i) for i, k in enumerate(rng.choices("aaab", k=60))] + [("a", None, 900), (None, 1.0, 901)]
+    slides += [("a", 55.5, 902), ("a", 55.5, 903)]
+    lines = [(k, round(rng.uniform(-50, 500), 1), i) for i, k in enumerate(rng.choices("aabc", k=300))] + [("a", None, 1900), (None, 2.0, 1901)]
+    s, l = spark.createDataFrame(slides, "k string, t double, sid bigint"), spark.createDataFrame(lines, "k string, t double, lid bigint")
+    of = {k: sorted((t, i) for k2, t, i in slides if k2 == k and t is not None) for k in "abc"}
+    timed = [(k, t, i) for k, t, i in lines if k and t is not None]
+    got = {r["lid"]: r["sid"] for r in tl.asof_backward(l, s, "k", "t", "lid", "sid", 2.0).collect()}
+    assert got == {i: max((x for x in of[k] if x[0] <= t + 2.0), default=(None, None))[1] for k, t, i in timed}
+    got = {r["lid"]: r["sid"] for r in tl.nearest(l, s, "k", "t", "lid", "sid").collect()}
+    assert got == {i: min(((abs(t - a), a, j) for a, j in of[k]), default=(0, 0, None))[2] for k, t, i in timed}
+    for tail, head in ((None, False), (7.0, False), (None, True)):
+        joined = tl.interval_join(s, l, "k", "t", "sid", ["lid"], tail, head).collect()
+        want = set()
+        for k, spans in of.items():
+            for n, (a, j) in enumerate(spans):
+                end = spans[n + 1][0] if n + 1 < len(spans) else a + tail if tail else float("inf")
+                start = float("-inf") if head and n == 0 else a
+                hits = [i for k2, t, i in timed if k2 == k and start <= t < end]
+                want |= {(j, i) for i in hits or [None]}
+        assert {(r["sid"], r["lid"]) for r in joined} == want and len(joined) == len(want)
+
+
+def test_every_title_is_scored(spark):
+    from quillstream.functions.text import indel_ratio
+    from quillstream.operators.matching import best_title, nearest_title
+
+    titles = ["bighouse", "pylon sweep", "ripple cascade", "xylem"]
+    names = ["bighouses", "pylom sweap", "cascade-ripple", "unlike anything", "zylem"]
+    t = spark.createDataFrame([(x, i) for i, x in enumerate(titles)], "title string, o int")
+    n = spark.createDataFrame([(x,) for x in names], "name string")
+    got = {r["name"]: r["title"] for r in best_title(n, t, "name", "title", "o").collect()}
+    assert got == {"bighouses": "bighouse", "pylom sweap": "pylon sweep", "cascade-ripple": "ripple cascade", "unlike anything": None, "zylem": "xylem"}
+    assert indel_ratio("bighouse", "bighouses") > 70
+    assert {r["name"]: (r["title"], r["dist"]) for r in nearest_title(n, t, "name", "title").collect()}["zylem"] == ("xylem", 1)
+    assert best_title(n, t.filter("false"), "name", "title", "o").filter("title is not null").count() == 0
+
+
+def test_near_hashes_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    h = [b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 22))) for b in base for _ in range(12)] + [base[0], base[0]]
+    signed = [x - (1 << 64) if x >> 63 else x for x in h]
+    df = spark.createDataFrame(list(enumerate(signed)) + [(999, None)], "i int, h bigint")
+    for most in (3, 14):
+        got = {(r["a"], r["b"]): r["distance"] for r in vectors.hamming_pairs(df, "i", "h", most).collect()}
+        want = {(i, j): (x ^ y).bit_count() for i, x in enumerate(h) for j, y in enumerate(h) if i < j and (x ^ y).bit_count() <= most}
+        assert got == want
+        refs = df.filter("i < 3")
+        near = {r["i"] for r in vectors.near_references(df, refs, "i", "h", most).collect()}
+        assert near == {i for i, x in enumerate(h) if any((x ^ y).bit_count() <= most for y in h[:3])}
+
+
+def test_components_of_chains_and_stars(spark):
+    from quillstream.operators.graph import keep_first, star_components
+    from quillstream.session import Scratch
+
+    edges = [(i, i + 1) for i in range(200)] + [(500, 500 + i) for i in range(1, 40)] + [(700, 701), (701, 702), (702, 700), (9, 9), (None, 3)]
+    got = {r["node"]: r["label"] for r in star_components(spark.createDataFrame(edges, "u int, v int"), Scratch(spark, "t")).collect()}
+    assert got == {i: 0 for i in range(201)} | {500 + i: 500 for i in range(40)} | {700: 700, 701: 700, 702: 700}
+    kept = keep_first(spark.createDataFrame(list(got.items()), "node int, label int"))
+    assert kept.count() == len(got) - 3
 
 
 def test_topk_of_many_queries(spark):
