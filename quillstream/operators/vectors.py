@@ -87,12 +87,16 @@ def hash_probes(h: Column, radius: int, bits: int = 64, bands: int = 4) -> Colum
 def _near_hashes(left: DataFrame, right: DataFrame, most: int, bands: int = 4) -> DataFrame:
     """``(lh, rh)``: the pairs of distinct hashes ``left(lh)`` and ``right(rh)`` at most ``most`` apart; exact.
 
-    Of ``bands`` bands, one differs by ``most // bands`` bits at most (pigeonhole). Both sides reach half of that, so
-    they meet at some key between them, and a key has sixteen bits to tell hashes apart, however great ``most`` is.
+    Of ``bands`` bands, one differs by ``most // bands`` bits at most (pigeonhole). Both sides together reach that far, so
+    they meet at some key between them, and a key has sixteen bits to tell hashes apart, however great ``most`` is. How the
+    reach is parted follows from the rows of either side and of the join: one side has all of it when hashes are many.
     """
-    r = most // bands
-    a = left.select("lh", F.explode(hash_probes(F.col("lh"), r // 2, bands=bands)).alias("k"))
-    b = right.select("rh", F.explode(hash_probes(F.col("rh"), r - r // 2, bands=bands)).alias("k"))
+    r, nl, nr = most // bands, left.count(), right.count()
+    reach = lambda k: len(_masks(64 // bands, k))
+    rows = lambda k: bands * (nl * reach(k) + nr * reach(r - k) + nl * nr * reach(k) * reach(r - k) / 2 ** (64 // bands))
+    k = min(range(r + 1), key=rows)
+    a = left.select("lh", F.explode(hash_probes(F.col("lh"), k, bands=bands)).alias("k"))
+    b = right.select("rh", F.explode(hash_probes(F.col("rh"), r - k, bands=bands)).alias("k"))
     return a.join(b, "k").filter(hamming(F.col("lh"), F.col("rh")) <= most).select("lh", "rh").distinct()
 
 
