@@ -75,7 +75,9 @@ def trim_overlaps(lines: Column, least: int = 10) -> Column:
         whole, kept = acc["whole"], acc["kept"]
         around = line.contains(whole)
         room = F.least(F.length(whole), F.length(line))
-        shared = F.filter(F.when(room >= least, F.sequence(F.lit(least), room)).otherwise(F.array().cast("array<int>")), lambda n: F.right(whole, n) == F.left(line, n))
+        # Where the least beginning is not to be found, no longer one is; most lines end here.
+        may = (room >= least) & whole.contains(F.left(line, F.lit(least)))
+        shared = F.filter(F.when(may, F.sequence(F.lit(least), room)).otherwise(F.array().cast("array<int>")), lambda n: F.right(whole, n) == F.left(line, n))
         new = F.when(around, line).otherwise(F.trim(F.substr(line, F.coalesce(F.array_max(shared), F.lit(0)) + 1)))
         brings = ~whole.contains(line) & (new != "")
         before = F.when(around & (F.size(kept) > 0), F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
