@@ -65,6 +65,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _roots: list[str] = []
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def clear_scratch(spark: SparkSession) -> None:
@@ -91,10 +92,17 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:04d}-{name}"
 
-    def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` and read it back, so that later steps start from the files."""
+    def cut(self, df: DataFrame, name: str = "t", tidy: bool = False) -> DataFrame:
+        """Write ``df`` and read it back, so that later steps start from the files. If ``tidy``, the shuffle files of the
+        write are deleted as it ends, not when the driver happens to collect its garbage."""
         at = self.path(name)
-        df.write.parquet(at)
+        before = self.spark.conf.get(_TIDY, "false")
+        try:
+            if tidy:
+                self.spark.conf.set(_TIDY, "true")
+            df.write.parquet(at)
+        finally:
+            self.spark.conf.set(_TIDY, before)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch_path = at
         return out

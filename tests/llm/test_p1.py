@@ -1,9 +1,14 @@
+import os
 import random
+import threading
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillstream.llm import p1_tensor as p1
+from quillstream.session import shared_dir
 
 SCHEMA = "unit_id string, summary string, verbatim_anchor string, i int, words string"
 
@@ -97,3 +102,63 @@ def test_different_texts_of_equal_words_meet_in_full(spark, monkeypatch):
     assert got == brute(rows + copies[:1])
     got = {tuple(r) for r in p1.similar_pairs(spark.createDataFrame(rows + copies, SCHEMA), "unit_id", ["summary", "verbatim_anchor"]).collect()}
     assert got == brute(rows + copies[:1]) | {("x00", c[0]) for c in copies[1:]}
+
+
+def test_keys_are_not_on_disk_all_at_once(spark):
+    """625 table keys a record took 9 KB of it."""
+    rng = random.Random(5)
+    rows = [(f"d{i}", " ".join(f"w{x}" for x in rng.sample(range(5000), 30)), None, i, "") for i in range(3000)]
+    df = spark.createDataFrame(rows + [("near", rows[7][1] + " more", None, 0, "")], SCHEMA)
+    places = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    places.append(shared_dir(spark).removeprefix("file://"))
+
+    def used():
+        total = 0
+        for at in (os.path.join(x, f) for p in places for x, _, fs in os.walk(p) for f in fs):
+            try:
+                total += os.path.getsize(at)
+            except OSError:
+                pass
+        return total
+
+    before, most, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            most[0] = max(most[0], used())
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = [tuple(r) for r in p1.similar_pairs(df, "unit_id", ["summary", "verbatim_anchor"], tensor=p1.Tensor(25, 4)).collect()]
+    finally:
+        over.set()
+        watcher.join()
+    assert got == [("d7", "near")]
+    assert 0 < most[0] - before < 3000 * len(rows)
+
+
+def test_blocks_of_keys_and_one_hot_key(monkeypatch):
+    """Against each pair that meets, with a key of a third of the rows and blocks far smaller than that."""
+    for name, value in (("BLOCK_ROWS", 8), ("HELD_PAIRS", 5), ("SIGN_ROWS", 7)):
+        monkeypatch.setattr(p1, name, value)
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(2**63), 2**63, 40)
+    lists = [np.where(rng.random(40) < rng.choice([0.05, 0.3]), rng.integers(-(2**63), 2**63, 40), base).tolist() for _ in range(60)]
+    t = p1.Tensor(3, 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100, 160)), pa.array(lists, pa.list_(pa.int64()))], names=["cid", "hashes"])
+    signed = pa.Table.from_batches(list(p1._signed(t)([batch.slice(0, 25), batch.slice(25)]))).to_pydict()
+    ends = {c: np.frombuffer(r, np.uint32) for c, r in zip(signed["cid"], signed["rest"])}
+    rows = sorted((i * 2**32 + (0 if c % 3 == 0 else a), c) for i in range(3) for c, a in zip(signed["cid"], signed[f"a{i}"]))
+    sketch = {c: r[4 * (t.m + t.m % 2):] for c, r in zip(signed["cid"], signed["rest"])}
+    least = int(0.7 * 12 - t.slack * (12 * 0.7 * 0.3) ** 0.5)
+
+    def alike(a, b):
+        x, y = (int.from_bytes(sketch[c], "little") for c in (a, b))
+        return sum(x >> 2 * f & 3 == y >> 2 * f & 3 for f in range(12)) >= least
+
+    want = {tuple(sorted((a, b))) for (k, a), (q, b) in combinations(rows, 2) if k == q and (ends[a][:3] == ends[b][:3]).any() and alike(a, b)}
+    binary = {c: r for c, r in zip(signed["cid"], signed["rest"])}
+    whole = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([c for _, c in rows]), pa.array([binary[c] for _, c in rows], pa.binary())], names=["key", "cid", "rest"])
+    got = {p for b in p1._meeting(t, 0.6)([whole.slice(i, 5) for i in range(0, len(rows), 5)]) for p in zip(*b.to_pydict().values())}
+    assert got == want and len(want) > 100
